@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, token_counts
+from . import bpe, line_dedup, media, mixing, quality, simhash, token_counts
 from .common import table
 
 OVER = 512
@@ -20,6 +20,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER).alias("over_limit"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where), *where)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before")))
+    gone = F.octet_length("before").cast("long") - F.octet_length("text").cast("long")
+    return short.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("removed_bytes"), (gone > 0).alias("shortened"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,4 +53,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op9_mixing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_bpe, op4_simhash, op5_line_dedup, op8_quality, op9_mixing, op10_media)}
