@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, quality, simhash, token_counts
+from . import bpe, embeddings, html_extract, line_dedup, media, mixing, quality, simhash, token_counts
 from .common import table
 
 OVER = 512
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER).alias("over_limit"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where), *where)
@@ -38,6 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("removed_bytes"), (gone > 0).alias("shortened"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -53,4 +61,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_bpe, op4_simhash, op5_line_dedup, op8_quality, op9_mixing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op8_quality, op9_mixing, op10_media)}
