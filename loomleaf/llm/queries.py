@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html_extract, line_dedup, media, mixing, quality, simhash, token_counts
+from . import bpe, embeddings, html_extract, line_dedup, media, mixing, quality, simhash, token_counts, toxicity
 from .common import table
 
 OVER = 512
@@ -46,6 +46,11 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -61,4 +66,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op8_quality, op9_mixing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op7_toxicity, op8_quality, op9_mixing, op10_media)}
