@@ -1,0 +1,69 @@
+"""Sections, claims, indexes, quality, source search and the registry."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+
+def sections(pages: DataFrame) -> DataFrame:
+    """stem, ord, heading, body of the second-level sections."""
+    parts = pages.select("stem", F.posexplode(F.slice(F.split("content", r"(?m)^##\s+", -1), 2, 1 << 30)).alias("ord", "part"))
+    return parts.select("stem", "ord", F.split_part("part", F.lit("\n"), F.lit(1)).alias("heading"), F.trim(F.expr("substr(part, length(split_part(part, '\\n', 1)) + 2)")).alias("body"))
+
+
+def citations(pages: DataFrame) -> DataFrame:
+    """stem, file, section of each citation."""
+    both = F.arrays_zip(F.regexp_extract_all("content", F.lit(T.SOURCE), F.lit(1)).alias("file"), F.regexp_extract_all("content", F.lit(T.SOURCE), F.lit(2)).alias("section"))
+    return pages.select("stem", F.inline(both))
+
+
+def claims(pages: DataFrame, shortest: int = 12) -> DataFrame:
+    """stem, claim_no, text: lines with a citation, without markup."""
+    lines = pages.select("stem", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(T.SOURCE))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^\s*[-*]\s+", ""), T.SOURCE, ""), r"\s+", " "))
+    found = lines.withColumn("text", F.rtrim(bare, F.lit(" ."))).where(F.length("text") >= shortest)
+    return found.select("stem", F.row_number().over(Window.partitionBy("stem").orderBy("line_no")).cast("long").alias("claim_no"), "text")
+
+
+def index_by(pages: DataFrame, column: str, missing: str) -> DataFrame:
+    """key, n, first and last stem of each group."""
+    key = F.coalesce(F.col(column), F.lit(missing)).alias("key")
+    return pages.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("stem").alias("first_stem"), F.max("stem").alias("last_stem"))
+
+
+def timeline(pages: DataFrame, least: int = 5) -> DataFrame:
+    """month, n: pages by month of creation, if there are `least` of them in all."""
+    months = pages.where("created IS NOT NULL").groupBy(F.substring("created", 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    total = months.agg(F.sum("n").alias("total"))
+    return months.join(F.broadcast(total), F.col("total") >= least).select("month", "n")
+
+
+def health(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_quality(pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """stem, score: 100 less what citations, claims, links and issues are missing or found."""
+    cost = F.when(F.col("code") == "BROKEN_LINK", 2).when(F.col("code") == "UNMARKED_INFERENCE", 8).when(F.col("severity") == "ERROR", 20).otherwise(3)
+    lost = issues.groupBy(F.col("page").alias("stem")).agg(F.sum(cost).alias("lost"))
+    cited = F.col("content").rlike(T.SOURCE)
+    own = F.when(cited, 0).otherwise(20) + F.when((F.size(T.link_targets(F.col("content"))) < 2) & (F.col("type") == "concept"), 10).otherwise(0) + F.when(F.regexp_count("content", F.lit(r"(?m)^##\s+")) < 4, 10).otherwise(0)
+    return pages.join(lost, "stem", "left").select("stem", F.greatest(F.lit(0), 100 - own - F.coalesce("lost", F.lit(0))).cast("long").alias("score"))
+
+
+def register(sources: DataFrame) -> DataFrame:
+    """Of documents with equal content the first: doc_id, content_hash, copies."""
+    return sources.groupBy(T.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def search(sources: DataFrame, question: str, top: int = 5, most: int = 25) -> DataFrame:
+    """doc_id, score of the documents that mention the question's words most often."""
+    import re
+
+    words = [w for w in re.findall("[a-z0-9]+", question.lower()) if len(w) > 2]
+    low = F.lower("text")
+    score = sum((F.least(((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("long"), F.lit(most)) for w in words), F.lit(0).cast("long"))
+    return sources.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top)
