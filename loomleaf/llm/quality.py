@@ -88,7 +88,6 @@ class Additive:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Additive:
-        x = x.reshape(len(y), -1)
         if not len(y):
             return cls([], [], 0.0, [], [])
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
