@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, whole_text
 
-MEMORY = 150_000
+MEMORY = 250_000
+#: Bytes of text in a block.
+BLOCK = 2 << 20
 
 
 class Vocabulary:
@@ -45,13 +47,13 @@ class Vocabulary:
             self.pieces[rank] = piece
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
-        self.made: dict[tuple[int, int], int] = {}
+        self.made: dict[int, int] = {}
 
     def rank(self, left: int, right: int) -> int:
         """The rank of what two tokens make together, -1 if none."""
-        found = self.made.get((left, right))
+        found = self.made.get(left << 20 | right)
         if found is None:
-            found = self.made[left, right] = self.ranks.get(self.pieces[left] + self.pieces[right], -1)
+            found = self.made[left << 20 | right] = self.ranks.get(self.pieces[left] + self.pieces[right], -1)
         return found
 
     def greedy(self, word: bytes) -> list[int]:
@@ -73,8 +75,8 @@ class Vocabulary:
             end = len(token)
             following += [*range(at + 1, end), -1][: end - at]
             before += [-1, *range(at, end - 1)][: end - at]
-        rank = self.rank
-        makes = [-1 if n < 0 else rank(t, token[n]) for t, n in zip(token, following)]
+        made, rank = self.made.get, self.rank
+        makes = [-1 if n < 0 else rank(t, token[n]) if (r := made(t << 20 | token[n])) is None else r for t, n in zip(token, following)]
         where: dict[int, list[int]] = {}
         for at, r in enumerate(makes):
             if r >= 0:
@@ -93,22 +95,29 @@ class Vocabulary:
                 gone = following[at]
                 token[at], makes[gone] = r, -1
                 after = following[at] = following[gone]
-                new = -1
+                makes[at] = -1
+                left = before[at]
                 if after >= 0:
                     before[after] = at
-                    new = rank(r, token[after])
-                makes[at] = new
-                left = before[at]
-                for place, found in ((at, new), (left, rank(token[left], r) if left >= 0 else -1)):
-                    if place >= 0:
-                        makes[place] = found
-                        if found >= 0:
-                            if found < r:
-                                odd.add(place)
-                            if found not in where:
-                                where[found] = []
-                                heappush(queue, found)
-                            where[found].append(place)
+                    pairs = ((at, r, token[after]), (left, token[left], r)) if left >= 0 else ((at, r, token[after]),)
+                elif left >= 0:
+                    pairs = ((left, token[left], r),)
+                else:
+                    continue
+                for place, one, two in pairs:
+                    found = made(one << 20 | two)
+                    if found is None:
+                        found = rank(one, two)
+                    makes[place] = found
+                    if found >= 0:
+                        if found < r:
+                            odd.add(place)
+                        there = where.get(found)
+                        if there is None:
+                            where[found] = [place]
+                            heappush(queue, found)
+                        else:
+                            there.append(place)
         starts = np.array(first, np.int64)
         again = {int(np.searchsorted(starts, p, "right")) - 1 for p in odd}
         out = []
@@ -129,9 +138,11 @@ class Vocabulary:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        if len(self.made) > 8 * MEMORY:
+        if len(self.made) > MEMORY:
             self.made.clear()
-        split = [self.split(t) for t in texts]
+        # Copies in a block are encoded once.
+        copies = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        split = [self.split(t) for t in copies]
         new = {w for words in split for w in words if w not in known}
         parts = []
         for word in new:
@@ -143,7 +154,8 @@ class Vocabulary:
                 known[word] = (whole,)
         for (word, _), ids in zip(parts, self.replay([d for _, d in parts])):
             known[word] = tuple(ids)
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        found = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        return [found[copies[t]] for t in texts]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -162,7 +174,7 @@ def _replaced(df: DataFrame, column: str, into: str, value, kind: str, work) ->
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], work(batch.column(batch.num_columns - 1))], [*rest, into])
 
-    return map_arrow(held, run, ", ".join(filter(None, [kinds, f"`{into}` {kind}"])))
+    return map_arrow(held, run, ", ".join(filter(None, [kinds, f"`{into}` {kind}"])), BLOCK)
 
 
 def encode(df: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids") -> DataFrame:
