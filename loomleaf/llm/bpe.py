@@ -1,8 +1,8 @@
 """Byte-level BPE by merge replay over the distinct words of a block of texts.
 
-The words of a block (pattern matches, each distinct word once) stand one after the other as a chain of byte tokens.
-An inverted index leads from what a token pair makes to the positions of that pair; merges are applied in rank order,
-each at all its positions from left to right, and only the neighbours of a merged pair are looked at again. A word in
+The words of a block (pattern matches, each distinct word once) stand one after the other as a chain of byte tokens
+in arrays. An inverted index leads from what a token pair makes to the positions of that pair; merges are applied in
+rank order, each at all its positions at once, and only the neighbours of a merged pair are looked at again. A word in
 which a merge makes a pair of lower rank than the merge itself goes through the plain greedy procedure instead, so
 that results are those of the greedy procedure for any vocabulary. What a task's worker has encoded it remembers, up
 to MEMORY words.
@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .common import map_arrow, whole_text
 
 MEMORY = 250_000
 #: Bytes of text in a block.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 
 
 class Vocabulary:
@@ -46,119 +47,193 @@ class Vocabulary:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.made: dict[int, int] = {}
+        self.single = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
+        # All pairs that make a piece, sorted, and what they make.
+        made = [(self.ranks[x[:i]] << 20 | self.ranks[x[i:]], r) for x, r in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks]
+        made.sort()
+        self.pairs = np.array([p for p, _ in made] + [1 << 62], np.int64)
+        self.makes = np.array([r for _, r in made] + [-1], np.int32)
+        self.lengths = np.array([len(x) for x in self.pieces] or [0], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.forget()
 
-    def rank(self, left: int, right: int) -> int:
-        """The rank of what two tokens make together, -1 if none."""
-        found = self.made.get(left << 20 | right)
-        if found is None:
-            found = self.made[left << 20 | right] = self.ranks.get(self.pieces[left] + self.pieces[right], -1)
-        return found
+    def forget(self) -> None:
+        self.known, self.held, self.sizes = _Numbers(), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of what pairs of tokens make, -1 if nothing."""
+        pair = left.astype(np.int64) << 20 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.makes[at], -1)
 
     def greedy(self, word: bytes) -> list[int]:
-        tokens = [self.ranks[word[i : i + 1]] for i in range(len(word))]
-        while True:
-            ranked = [(r, i) for i, r in enumerate(map(self.rank, tokens, tokens[1:])) if r >= 0]
-            if not ranked:
-                return tokens
-            r, i = min(ranked)
-            tokens[i : i + 2] = [r]
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word. All words are merged together, rank by rank."""
-        token, following, before, first = [], [], [], []
-        for word in words:
-            at = len(token)
-            first.append(at)
-            token += [self.ranks[word[i : i + 1]] for i in range(len(word))]
-            end = len(token)
-            following += [*range(at + 1, end), -1][: end - at]
-            before += [-1, *range(at, end - 1)][: end - at]
-        made, rank = self.made.get, self.rank
-        makes = [-1 if n < 0 else rank(t, token[n]) if (r := made(t << 20 | token[n])) is None else r for t, n in zip(token, following)]
-        where: dict[int, list[int]] = {}
-        for at, r in enumerate(makes):
-            if r >= 0:
-                where.setdefault(r, []).append(at)
-        queue, odd = list(where), set()
+        """One word by the plain procedure: again and again the leftmost pair of the lowest rank."""
+        tokens: list[int | None] = self.single[np.frombuffer(word, np.uint8)].tolist()
+        n = len(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def rank(left: int, right: int) -> int:
+            return self.ranks.get(self.pieces[left] + self.pieces[right], -1)
+
+        queue = [(r, i, x, y) for i, (x, y) in enumerate(zip(tokens, tokens[1:])) if (r := rank(x, y)) >= 0]
         heapify(queue)
+        while queue:
+            r, i, x, y = heappop(queue)
+            j = after[i]
+            if tokens[i] != x or j >= n or tokens[j] != y:
+                continue
+            tokens[i], tokens[j], after[i] = r, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (found := rank(tokens[k], tokens[after[k]])) >= 0:
+                    heappush(queue, (found, k, tokens[k], tokens[after[k]]))
+        return [t for t in tokens if t is not None]
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and how many each has. All words are merged together, rank by rank."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        n = int(lengths.sum())
+        if not n:
+            return np.zeros(0, np.int32), lengths
+        ends = np.cumsum(lengths)
+        token = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following[ends[lengths > 0] - 1] = -1
+        before[(ends - lengths)[lengths > 0]] = -1
+        alive = np.ones(n, bool)
+        makes = np.full(n, -1, np.int32)
+        inner = np.nonzero(following >= 0)[0]
+        makes[inner] = self.ranked(token[inner], token[inner + 1])
+        where: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def list_pairs(at: np.ndarray, found: np.ndarray) -> None:
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            cuts = [0, *(np.nonzero(np.diff(found))[0] + 1).tolist(), len(found)]
+            for start, end in zip(cuts, cuts[1:]):
+                r = int(found[start])
+                if r not in where:
+                    where[r] = []
+                    heappush(queue, r)
+                where[r].append(at[start:end])
+
+        some = np.nonzero(makes >= 0)[0]
+        if len(some):
+            list_pairs(some, makes[some])
+        odd: list[np.ndarray] = []
         while queue:
             r = heappop(queue)
-            places = where.pop(r, None)
-            if places is None:
+            lists = where.pop(r)
+            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            at = at[makes[at] == r]
+            if not len(at):
                 continue
-            places.sort()
-            for at in places:
-                if makes[at] != r:
-                    continue
-                gone = following[at]
-                token[at], makes[gone] = r, -1
-                after = following[at] = following[gone]
-                makes[at] = -1
-                left = before[at]
-                if after >= 0:
-                    before[after] = at
-                    pairs = ((at, r, token[after]), (left, token[left], r)) if left >= 0 else ((at, r, token[after]),)
-                elif left >= 0:
-                    pairs = ((left, token[left], r),)
-                else:
-                    continue
-                for place, one, two in pairs:
-                    found = made(one << 20 | two)
-                    if found is None:
-                        found = rank(one, two)
-                    makes[place] = found
-                    if found >= 0:
-                        if found < r:
-                            odd.add(place)
-                        there = where.get(found)
-                        if there is None:
-                            where[found] = [place]
-                            heappush(queue, found)
-                        else:
-                            there.append(place)
-        starts = np.array(first, np.int64)
-        again = {int(np.searchsorted(starts, p, "right")) - 1 for p in odd}
-        out = []
-        for k, (word, at) in enumerate(zip(words, first)):
-            if not word:
-                out.append([])
-            elif k in again:
-                out.append(self.greedy(word))
-            else:
-                ids = []
-                while at >= 0:
-                    ids.append(token[at])
-                    at = following[at]
-                out.append(ids)
-        return out
+            gone = following[at]
+            if (makes[gone] == r).any():
+                # Pairs that overlap, as in a run of one letter: from left to right every other one.
+                taken, last = [], -1
+                for k, (here, there) in enumerate(zip(at.tolist(), gone.tolist())):
+                    if here != last:
+                        taken.append(k)
+                        last = there
+                at, gone = at[taken], gone[taken]
+            after, left = following[gone], before[at]
+            right = after >= 0
+            here, there = at[right], after[right]
+            found = self.ranked(np.full(len(here), r, np.int32), token[there])
+            low = (found >= 0) & (found < r)
+            if low.any():
+                odd.append(here[low])
+            token[at] = r
+            makes[at] = makes[gone] = -1
+            alive[gone] = False
+            following[at] = after
+            before[there] = here
+            found = np.where(token[there] == r, self.ranked(token[here], token[there]), found)
+            # What stands before a merged pair may have been merged with it just now.
+            left = before[at]
+            ahead = left >= 0
+            back, own = left[ahead], at[ahead]
+            places = np.concatenate([here, back])
+            found = np.concatenate([found, self.ranked(token[back], token[own])])
+            low = (found >= 0) & (found < r)
+            if low.any():
+                odd.append(places[low])
+            makes[places] = found
+            some = found >= 0
+            if some.any():
+                list_pairs(places[some], found[some])
+        ids = token[alive]
+        counts = np.diff(np.r_[0, np.cumsum(alive)[ends - 1]]) if (lengths > 0).all() else np.array([alive[e - k : e].sum() for e, k in zip(ends, lengths)], np.int64)
+        again = np.unique(np.searchsorted(ends, np.concatenate(odd), "right")) if odd else ()
+        if len(again):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in again:
+                parts[k] = np.array(self.greedy(words[k]), np.int32)
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, counts
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        if len(self.known) > MEMORY:
+            self.forget()
         known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        if len(self.made) > MEMORY:
-            self.made.clear()
-        # Copies in a block are encoded once.
-        copies = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        # Copies in a block are split once.
+        copies: dict[str, int] = {}
+        place = [copies.setdefault(t, len(copies)) for t in texts]
         split = [self.split(t) for t in copies]
-        new = {w for words in split for w in words if w not in known}
-        parts = []
-        for word in new:
-            data = word.encode()
-            whole = self.ranks.get(data)
-            if whole is None:
-                parts.append((word, data))
-            else:
-                known[word] = (whole,)
-        for (word, _), ids in zip(parts, self.replay([d for _, d in parts])):
-            known[word] = tuple(ids)
-        found = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-        return [found[copies[t]] for t in texts]
+        words = np.array([len(w) for w in split], np.int64)
+        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
+        del split
+        if known.new:
+            ids, counts = self.replay([w.encode() for w in known.new])
+            known.new.clear()
+            self.held = [np.concatenate([*self.held, ids])]
+            self.sizes = [np.concatenate([*self.sizes, counts])]
+        held, sizes = self.held[0], self.sizes[0]
+        flat = _gather(held, np.cumsum(sizes) - sizes, sizes, numbers)
+        to = np.r_[0, np.cumsum(sizes[numbers])]
+        ends = to[np.cumsum(words)]
+        counts = np.diff(np.r_[0, ends])
+        if len(copies) == len(texts):
+            return flat, counts
+        at = np.array(place, np.int64)
+        return _gather(flat, ends - counts, counts, at), counts[at]
+
+    def decode_block(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, and how many each of the rows of `counts` ids has."""
+        sizes = np.r_[0, np.cumsum(self.lengths[ids])]
+        return _gather(self.bytes, self.places, self.lengths, ids), np.diff(np.r_[0, sizes[np.cumsum(counts)]])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, counts = self.encode_block(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return self.decode_block(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes()
+
+
+class _Numbers(dict):
+    """Numbers words as they are first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+def _gather(values: np.ndarray, places: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at places[i] with sizes[i] values, for each i of chosen."""
+    length = sizes[chosen]
+    end = np.cumsum(length)
+    return values[np.repeat(places[chosen] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 @lru_cache(2)
@@ -181,11 +256,8 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", into: s
     """df with the ids (array of int) of its texts in column `into`."""
 
     def work(texts):
-        rows = vocabulary(path, pattern).encode(texts.to_pylist())
-        offsets = np.zeros(len(rows) + 1, np.int32)
-        np.cumsum([len(r) for r in rows], out=offsets[1:])
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        ids, counts = vocabulary(path, pattern).encode_block(texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
 
     return _replaced(df, column, into, whole_text(column), "array<int>", work)
 
@@ -194,7 +266,10 @@ def decode(df: DataFrame, path: str, pattern: str, column: str = "ids", into: st
     """df with the bytes of its ids in column `into`."""
 
     def work(ids):
-        vocab = vocabulary(path, pattern)
-        return pa.array([None if i is None else vocab.decode(i) for i in ids.to_pylist()], pa.binary())
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        data, sizes = vocabulary(path, pattern).decode_block(flat, counts)
+        made = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(data)])
+        return pc.if_else(ids.is_valid(), made, pa.scalar(None, pa.binary())) if ids.null_count else made
 
     return _replaced(df, column, into, F.col(f"`{column}`"), "binary", work)
