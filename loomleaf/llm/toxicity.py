@@ -14,10 +14,13 @@ replaced.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import map_arrow, whole_text
 from .quality import held_out, sampled_labels
@@ -30,16 +33,19 @@ EDGES = ".,;:!?\"'()[]{}<>*&%$#|-"
 
 
 def _hash(x: str, seed: int) -> int:
-    from xxhash import xxh64_intdigest
-
     return xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed)
 
 
+@lru_cache(1 << 17)
+def _gram(x: str) -> int:
+    return _hash(x, 2) % GRAMS
+
+
 def word_inputs(word: str) -> tuple[int, list[int]]:
     """The row of a word's own vector and the rows of its trigrams' vectors; 0 is padding."""
     bare = word.strip(EDGES) or word
     framed = f"^{bare}$"
-    return 1 + _hash(bare, 1) % (WORDS - 1), [_hash(framed[i : i + 3], 2) % GRAMS for i in range(max(1, len(framed) - 2))]
+    return 1 + _hash(bare, 1) % (WORDS - 1), [_gram(framed[i : i + 3]) for i in range(max(1, len(framed) - 2))]
 
 
 def starts(n: int) -> np.ndarray:
