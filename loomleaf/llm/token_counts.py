@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, whole_text
+from .common import scratch, slices, stored, whole_text
 
 CACHE = "version string, digest binary, n_tokens long"
 #: A set of missing digests of at most so many rows (32 bytes each) is broadcast to keep known texts out of the shuffle.
@@ -99,7 +99,8 @@ def count_tokens(df: DataFrame, tokenizer: Tokenizer, cache: str, column: str =
         texts = keyed.groupBy("digest").agg(F.first("_key").alias("_key"))
         made = texts.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
         made.select(F.lit(tokenizer.version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = _cached(spark, cache, tokenizer.version)
+    # Written, so that both sides of the join are plain shuffles, and Spark may split a digest that many rows share.
+    counts = stored(_cached(spark, cache, tokenizer.version), "counts")
     rows = df.select(*rest, F.unhex(F.sha2(key, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.join(counts, "digest")
 
