@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, rules, wiki
+from ..operators import graph, retrieval, rules, wiki
 from ..sources.rendered import PAGES, pages
 from ..streaming import recheck
 
 QUESTION = "doc 17 domain en status"
 SEARCH = "the thing source licensed"
+SOURCE = "Doc 17 and Doc 170 share their definition with a source of relationships; both cite others."
+BUDGET = 900
 
 
 def _docs(spark, d):
@@ -22,6 +24,12 @@ def recheck_fold(spark, d):
     return recheck.fold(checks).drop("last_checked_at")
 
 
+def context_seeds(spark, d):
+    found = pages(spark, d)
+    ranked = graph.seeds(found, QUESTION).select("stem", F.col("ord").cast("long").alias("ord")).join(found.select("stem", "type", "confidence", "content"), "stem")
+    return retrieval.context(ranked, BUDGET).select("ord", "stem", "n_chars")
+
+
 QUERIES = {
     "page_scan": lambda s, d: pages(s, d).select("stem", "dir", "type", "confidence", "created", T.content_hash(F.col("content")).alias("content_hash")),
     "tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).cast("long").alias("n_distinct")),
@@ -49,6 +57,12 @@ QUERIES = {
     "register_dedup": lambda s, d: wiki.register(_docs(s, d)),
     "search_sources": lambda s, d: wiki.search(_docs(s, d), SEARCH),
     "recheck_fold": recheck_fold,
+    "context_seeds": context_seeds,
+    "merge_candidates": lambda s, d: retrieval.merge_candidates(pages(s, d), SOURCE),
+    "triage_missing_pages": lambda s, d: retrieval.missing_pages(rules.lint(pages(s, d))),
+    "thin_pages": lambda s, d: retrieval.thin(pages(s, d)),
+    "missing_counter_arguments": lambda s, d: retrieval.without_counter_arguments(pages(s, d)),
+    "contradiction_blocks": lambda s, d: retrieval.contradiction_blocks(pages(s, d)),
 }
 
 _PAGES = PAGES.format(documents="documents", labels="labels")
@@ -68,6 +82,13 @@ _I = f"""{_L}, i AS (
  UNION ALL SELECT 'WARNING', 'UNRESOLVED_CONTRADICTION', stem, 'Contradiction not resolved' FROM p WHERE doc_id % 13 = 0
  UNION ALL SELECT 'WARNING', 'MISSING_SECTION', stem, 'No section Relationships' FROM p WHERE doc_id % 11 = 0)"""
 
+_T = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
+_Q = "['doc', '17', 'domain', 'en', 'status']"
+_S = f"""{_W}, scored AS (SELECT *, (10 * len(list_intersect(list_distinct(string_split(lower(stem), ' ')), {_Q})) + 3 * len(list_intersect(list_distinct(string_split(topic, '/')), {_Q}))
+  + CASE WHEN contains(lower(substr(content, 1, 500)), 'domain') THEN 1 ELSE 0 END + CASE WHEN contains(lower(substr(content, 1, 500)), 'status') THEN 1 ELSE 0 END)::BIGINT AS score FROM p),
+ s AS (SELECT *, row_number() OVER (ORDER BY score DESC, dir, stem) AS ord FROM scored WHERE score > 0 QUALIFY ord <= 5)"""
+_HITS = " + ".join(f"least((length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}, 25)" for w in SEARCH.split())
+
 
 def _index(key: str) -> str:
     return f"{_W} SELECT {key} AS key, count(*) AS n, min(stem) AS first_stem, max(stem) AS last_stem FROM p GROUP BY 1"
@@ -96,4 +117,12 @@ SQL = {
     "timeline": f"{_W} SELECT substr(created, 1, 7) AS month, count(*) AS n FROM p GROUP BY 1",
     "register_dedup": "SELECT substr(sha256(text), 1, 16) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "recheck_fold": "WITH c AS (SELECT user_id AS page, event_type = 'error' AS stale, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), g AS (SELECT page, count(*) AS total_checks, count(*) FILTER (stale) AS stale_count, coalesce(max(k) FILTER (stale), 1) AS since FROM c GROUP BY page) SELECT page, total_checks, stale_count, total_checks - stale_count AS clean_count, least(24.0::DOUBLE * pow(1.5::DOUBLE, (total_checks - since)::DOUBLE), 168.0::DOUBLE) AS interval_h FROM g",
+    "seed_pages": f"{_S} SELECT stem, score FROM s",
+    "search_sources": f"SELECT doc_id, score FROM (SELECT doc_id, ({_HITS})::BIGINT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5",
+    "context_seeds": f"{_S}, c AS (SELECT ord, stem, length('## [' || stem || '] (type: ' || type || ', confidence: ' || confidence || ')' || content || repeat(chr(10), 5) || '---') AS n_chars FROM s) SELECT ord, stem, n_chars FROM (SELECT *, sum(n_chars) OVER (ORDER BY ord) AS total FROM c) WHERE total <= {BUDGET}",
+    "merge_candidates": f"{_W}, m AS (SELECT stem, (10 * len(list_intersect({_T.format('stem')}, {_T.format(repr(SOURCE))})) + len(list_intersect({_T.format('substr(content, 1, 5000)')}, {_T.format(repr(SOURCE))})))::BIGINT AS score FROM p) SELECT stem, score FROM m WHERE score > 0 ORDER BY score DESC, stem LIMIT 5",
+    "triage_missing_pages": f"{_L} SELECT target, count(DISTINCT source) AS n, min(source) AS first_page, 20 + 10 * count(DISTINCT source) AS score FROM raw WHERE target NOT IN (SELECT stem FROM p) GROUP BY target",
+    "thin_pages": "SELECT 'Doc ' || doc_id AS stem, 1::BIGINT AS n_sections FROM documents WHERE doc_id % 11 = 0",
+    "missing_counter_arguments": "SELECT 'Doc ' || d.doc_id AS stem, CASE WHEN quality = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS DISTINCT FROM 0",
+    "contradiction_blocks": "SELECT 'Doc ' || doc_id AS stem, 1::BIGINT AS n FROM documents WHERE doc_id % 13 = 0",
 }
