@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomleaf.llm import bpe, line_dedup, mixing, quality, simhash
+from loomleaf.llm import bpe, line_dedup, mixing, near_copies, quality
 from loomleaf.llm.common import stored, table
 
 
@@ -22,8 +22,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.kept(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_copies.kept(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
-    ("SimHash near-dedup", near_stage),
+    ("shingle near-dedup", near_stage),
     ("mixing to target weights", mixing_stage),
     ("byte-level BPE", encoding_stage),
 ]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from loomleaf.llm import bpe, embeddings, html_extract, line_dedup, mixing, quality, simhash, toxicity  # noqa: E402
+from loomleaf.llm import bpe, embeddings, html_extract, line_dedup, mixing, near_copies, quality, simhash, toxicity  # noqa: E402
 
 WHERE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, lang string, source string, _row string, score double"
@@ -49,6 +49,33 @@ def test_simhash_components(spark):
     assert sorted(r.doc_id for r in simhash.kept(spark.createDataFrame(ROWS, DOCS)).collect()) == [1, 2, 4]
 
 
+def test_near_copies_as_brute_force(spark):
+    """Also through the pipeline's stage: copies with a few words changed differ in more than two bits of a fingerprint."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([4, 5, 9, 40, 200, 900]))]
+        for _ in range(12):
+            other = list(base)
+            for _ in range(rng.randrange(1 + len(other) // 30)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(other[: len(other) - rng.randrange(1 + len(other) // 10)]))
+    texts += ["", None, "a b", "A  b"]
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    group = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if runs[i] == runs[j] or 10 * len(runs[i] & runs[j]) >= 8 * len(runs[i] | runs[j])]
+    for i, j in pairs:
+        group = [group[i] if g == group[j] else g for g in group]
+    want = {i: min(j for j, h in enumerate(group) if h == g) for i, g in enumerate(group)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs).collect()} == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == sorted(set(want.values())) != sorted(want)
+    assert sorted(r.doc_id for r in near_copies.kept(spark.createDataFrame(ROWS, DOCS)).collect()) == [1, 2, 4]
+    assert near_copies.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"one\n{passage}\ntwo"), (2, f"three\n{passage}"), (3, "short\nline"), (4, "short\nline"), (5, None)]
