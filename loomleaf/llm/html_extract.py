@@ -5,8 +5,9 @@ Each page's DOM is reduced to text blocks; a block's node is the path of its blo
 importance is the entropy of the contents that pages show there, against the entropy of as many different contents as
 there are pages. Branches of low importance (menus, notices and the like, which say the same on each page) are cut
 from every page. Elements that are never main text (scripts, forms, navigation, and what its class, id or role names
-as advert, sidebar, comment or notice) have no importance; the content of an article element has full importance, and
-where a page has one, the rest of the page has none.
+as advert, sidebar, comment or notice) have no importance; a node within an article or main element gets PRESENTED on
+top of its entropy, so that it is cut only if it says nearly the same on all pages. Blocks outside of it are weighed by
+entropy, as main text can stand beside an article element that is a teaser.
 
 Defined results: a null html counts as empty and gives an empty text; hosts with fewer than FEWEST different pages
 cut by presentation alone; null or odd URLs share one host ''; repeated rows stay, each with its text; empty tables
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
 
-FEWEST, IMPORTANCE = 5, 0.3
+FEWEST, IMPORTANCE, PRESENTED = 5, 0.3, 0.2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("nav footer aside form script style noscript template button select option textarea input iframe svg canvas object dialog head title menu audio video".split())
@@ -107,8 +108,7 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
     page.feed(html)
     page.close()
     page.flush()
-    sure = [b for b in page.blocks if b[1]]
-    return sure or page.blocks
+    return page.blocks
 
 
 def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -125,21 +125,19 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         def signed(x: str) -> int:
             return xxh64_intdigest(x.encode()) - (1 << 63)
 
-        rows = [[{"path": signed(p), "content": 0 if s else signed(t), "sure": s, "text": t} for p, s, t in blocks(h)] for h in batch.column(batch.num_columns - 1).to_pylist()]
+        rows = [[{"path": signed(p), "content": signed(t), "sure": s, "text": t} for p, s, t in blocks(h)] for h in batch.column(batch.num_columns - 1).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], [*rest, "host", "_blocks"])
 
     parsed = map_arrow(held, run, f"{kinds}, _blocks array<struct<path:long,content:long,sure:boolean,text:string>>")
     parsed = stored(parsed.withColumn("_row", F.monotonically_increasing_id()), "pages")
-    unsure = F.exists("_blocks", lambda b: ~b["sure"])
-    keep = parsed.where(~unsure)
     # Copies of a page count once in the tree, as a single digest of its contents tells them apart.
-    pages = parsed.where(unsure).select("host", F.transform("_blocks", lambda b: F.struct(b["path"], b["content"])).alias("nodes")).groupBy("host", F.xxhash64("nodes").alias("page")).agg(F.first("nodes").alias("nodes"))
-    shown = pages.select("host", "page", F.inline("nodes")).toDF("host", "page", "path", "content")
-    each = shown.distinct().groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
-    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("shown"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"))
-    low = nodes.where((F.col("shown") >= FEWEST) & (F.col("entropy") / F.log("shown") < IMPORTANCE)).select("host", "path")
-    there = parsed.where(unsure).select("_row", "host", F.explode(F.array_distinct(F.transform("_blocks", lambda b: b["path"]))).alias("path"))
+    pages = parsed.select("host", F.transform("_blocks", lambda b: F.struct(b["path"], b["content"], b["sure"])).alias("nodes")).groupBy("host", F.xxhash64("nodes").alias("page")).agg(F.first("nodes").alias("nodes"))
+    shown = pages.select("host", "page", F.inline("nodes")).toDF("host", "page", "path", "content", "sure")
+    each = shown.distinct().groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.max("sure").alias("sure"))
+    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("shown"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"), F.max("sure").alias("sure"))
+    low = nodes.where((F.col("shown") >= FEWEST) & (F.col("entropy") / F.log("shown") + F.when(F.col("sure"), PRESENTED).otherwise(0.0) < IMPORTANCE)).select("host", "path")
+    there = parsed.select("_row", "host", F.explode(F.array_distinct(F.transform("_blocks", lambda b: b["path"]))).alias("path"))
     cut = there.join(low, ["host", "path"]).groupBy("_row").agg(F.collect_set("path").alias("_cut"))
-    trimmed = parsed.where(unsure).join(cut, "_row", "left").withColumn("_blocks", F.when(F.col("_cut").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains("_cut", b["path"]))))
+    trimmed = parsed.join(cut, "_row", "left").withColumn("_blocks", F.when(F.col("_cut").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains("_cut", b["path"]))))
     text = F.array_join(F.transform("_blocks", lambda b: b["text"]), " ")
-    return keep.unionByName(trimmed.select(*keep.columns)).select(*[F.col(f"`{c}`") for c in rest], "host", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return trimmed.select(*[F.col(f"`{c}`") for c in rest], "host", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

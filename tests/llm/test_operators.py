@@ -92,6 +92,15 @@ def test_main_text(spark):
     assert got == {0: "T one two& three", 1: "", **{i: f"Only here {i}" for i in range(2, 12)}}
 
 
+def test_tree_holds_pages_with_articles(spark):
+    """A teaser is the only article element, and a line within articles says the same on each page."""
+    teaser = "<article><p>Teaser for all</p></article><div class=text>Main text {}</div><div class=top>Same on each</div>"
+    inside = "<div class=top>Same on each</div><article><p>Main text {}</p><div class=note>Sign up now</div></article>"
+    rows = [(i, f"http://{'ab'[i % 2]}/x", (teaser, inside)[i % 2].format(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Main text {i}" for i in range(20)}
+
+
 def test_embeddings_as_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
