@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The grammar of links and citations, relation types and their weights.
 LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 SOURCE = r"\[source:\s*([^,\]]+),\s*§([^\]]+)\]"
-# Relation types and their weights.
+ANY_SOURCE = r"\[source:\s*[^\]]+\]"
+TYPED_ENTRY = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]:(\w+)"
 WEIGHTS = {"cites": 4, "contradicts": 3, "implements": 3, "extends": 2, "prerequisite_of": 2, "derived_from": 2, "trades_off": 1, "neutral": 1}
 RELATIONS = tuple(k for k in WEIGHTS if k != "neutral")
 
@@ -33,14 +35,71 @@ def folded(name: Column) -> Column:
     return F.lower(F.replace(name, F.lit(" "), F.lit("_")))
 
 
-def relation(before: Column, after: Column) -> Column:
-    """A link's relation: a suffix right behind it, else the nearest of the three words before it, else neutral."""
+def slug(title: Column) -> Column:
+    """A title as a file name."""
+    return F.trim(F.regexp_replace(title, r'[\\/:*?"<>|]', ""))
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def stem_of(path: Column) -> Column:
+    return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
+
+
+def relations(content: Column) -> Column:
+    """Array of (target, rel) of a text's links: a suffix right behind the link, else the nearest of the three words before it, else neutral.
+
+    The words before a link go back over other links and line ends. A fold carries the last words along, so that each
+    part of the text is split once.
+    """
     names = "|".join(RELATIONS)
-    suffix = F.regexp_extract(after, rf"^:({names})\b", 1)
-    words = F.filter(F.split(F.substring(before, F.lit(1), F.greatest(F.length(before) - 1, F.lit(0))), r"\s+"), lambda w: w != "")
-    near = F.filter(F.reverse(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))), lambda w: w.isin(*RELATIONS))
-    return F.when(suffix != "", suffix).otherwise(F.coalesce(F.get(near, F.lit(0)), F.lit("neutral")))
+    parts, whole, targets = F.split(content, LINK, -1), F.regexp_extract_all(content, F.lit(LINK), F.lit(0)), link_targets(content)
+
+    def step(state: Column, i: Column) -> Column:
+        fields = F.split(F.concat(state["tail"], F.when(i > 0, F.get(whole, i - 1)).otherwise(""), F.get(parts, i)), r"\s+", -1)
+        last = F.get(fields, F.size(fields) - 1)
+        # The character right before a link doesn't count.
+        words = F.concat(F.slice(fields, 1, F.size(fields) - 1), F.array(F.substring(last, F.lit(1), F.greatest(F.char_length(last) - 1, F.lit(0)))))
+        words = F.filter(words, lambda w: w != "")
+        near = F.filter(F.reverse(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))), lambda w: F.lower(w).isin(*RELATIONS))
+        suffix = F.regexp_extract(F.get(parts, i + 1), rf"^:({names})\b", 1)
+        rel = F.when(suffix != "", suffix).otherwise(F.coalesce(F.lower(F.get(near, F.lit(0))), F.lit("neutral")))
+        tail = F.array_join(F.slice(fields, F.greatest(F.size(fields) - 4, F.lit(1)), F.lit(5)), " ")
+        return F.struct(tail.alias("tail"), F.concat(state["out"], F.array(F.struct(F.get(targets, i).alias("target"), rel.alias("rel")))).alias("out"))
+
+    zero = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<target:string,rel:string>>").alias("out"))
+    # Texts without links have no places: the sequence would count down.
+    places = F.when(F.size(targets) > 0, F.sequence(F.lit(0), F.size(targets) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, zero, step, lambda s: s["out"])
 
 
 def weight(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v)]), kind), F.lit(1)).cast("double")
+
+
+def sections(content: Column) -> Column:
+    """Array of (heading, body) of the second-level sections; of equal headings the first place and the last body."""
+    parts = F.slice(F.split(content, r"(?m)^##[ \t]+", -1), 2, 1 << 30)
+    each = F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("\n"), F.lit(1))).alias("heading"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    heads = F.array_distinct(F.transform(each, lambda s: s["heading"]))
+    return F.transform(heads, lambda h: F.element_at(F.filter(each, lambda s: s["heading"] == h), -1))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def shortened(text: Column, most: int = 260) -> Column:
+    """A text cut at a word's end, with a mark where something is missing."""
+    flat = strip(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.char_length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, most), r"\s+\S*$", ""), F.lit("…")))
+
+
+def source_type(name: Column) -> Column:
+    """The kind of a source file by its name."""
+    low = F.lower(name)
+    # Endings of code files.
+    code = r"\.(py|js|ts|go|rs|java)$"
+    return F.when(F.contains(low, F.lit("transcript")), "transcript").when(low.endswith(".pdf"), "paper").when(low.rlike(code), "code-doc").otherwise("article")

@@ -6,69 +6,113 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stages import cut
+from . import pages as P
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """source, pos, target, rel: a row for each link of each page."""
-    parts = F.split("content", T.LINK, -1)
-    found = pages.select("stem", parts.alias("parts"), F.posexplode(T.link_targets(F.col("content"))).alias("pos", "target"))
-    return found.select(F.col("stem").alias("source"), "pos", "target", T.relation(F.get("parts", F.col("pos")), F.get("parts", F.col("pos") + 1)).alias("rel"))
+    """source, pos, target, rel: a row for each link of each page's content."""
+    return pages.select(F.col("stem").alias("source"), F.posexplode(T.relations(F.col("content"))).alias("pos", "l")).select("source", "pos", "l.target", "l.rel")
+
+
+def typed_links(pages: DataFrame) -> DataFrame:
+    """As links; an entry [[page]]:type of the head's related_concepts takes the place of all links to the same target."""
+    head = pages.select(F.col("stem").alias("source"), F.posexplode("related_concepts").alias("pos", "entry"))
+    head = head.select("source", "pos", F.regexp_extract("entry", T.TYPED_ENTRY, 1).alias("target"), F.regexp_extract("entry", T.TYPED_ENTRY, 2).alias("rel")).where("target <> ''")
+    last = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("pos")))
+    head = head.withColumn("nth", last).where("nth = 1").select("source", (F.col("pos") + (1 << 24)).alias("pos"), "target", "rel")
+    return links(pages).join(head.select("source", "target"), ["source", "target"], "left_anti").select("source", "pos", "target", "rel").unionByName(head)
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """source, target (a page's stem where there is one), type, weight; of equal edges the first."""
-    names = pages.groupBy(T.folded(F.col("stem")).alias("key")).agg(F.max("stem").alias("stem"))
-    joined = links(pages).withColumn("key", T.folded(F.col("target"))).join(names, "key", "left")
+    """source, target (a page's stem where there is one), type, weight, pos; of equal edges the first."""
+    own = P.wiki(pages)
+    names = own.groupBy(T.folded(F.col("stem")).alias("key")).agg(F.max_by("stem", F.struct("dir", "stem")).alias("stem"))
+    joined = typed_links(own).withColumn("key", T.folded(F.col("target"))).join(names, "key", "left")
     resolved = joined.select("source", "pos", F.coalesce("stem", "target").alias("target"), F.col("rel").alias("type"))
-    return resolved.groupBy("source", "target", "type").agg(F.min("pos").alias("pos")).withColumn("weight", T.weight(F.col("type")))
+    keys = [F.lower(c).alias(f"k{i}") for i, c in enumerate(("source", "target", "type"))]
+    first = resolved.groupBy(*keys).agg(F.min(F.struct("source", "pos", "target", "type")).alias("e"))
+    return first.select("e.source", "e.target", "e.type", T.weight(F.col("e.type")).alias("weight"), "e.pos")
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    """id, type, path, confidence of the graph's pages."""
+    return P.named(pages).select(F.col("stem").alias("id"), F.coalesce("type", F.lit("unknown")).alias("type"), "path", "confidence")
+
+
+def untyped(pages: DataFrame) -> DataFrame:
+    """source, target of all links of all pages, head included, repeats kept."""
+    names = pages.groupBy(F.lower("stem").alias("key")).agg(F.max("stem").alias("stem"))
+    found = pages.select(F.col("stem").alias("source"), F.explode(T.link_targets(P.raw(pages))).alias("target")).withColumn("key", F.lower("target"))
+    return found.join(names, "key", "left").select("source", F.coalesce("stem", "target").alias("target"))
 
 
 def inlinks(pages: DataFrame) -> DataFrame:
-    """stem, inlinks: distinct pages that link to each page."""
-    names = pages.select("stem", F.lower("stem").alias("key"))
-    return links(pages).withColumn("key", F.lower("target")).join(names, "key").groupBy("stem").agg(F.countDistinct("source").alias("inlinks"))
+    """stem, inlinks (count), sources: the distinct pages that link to each page, sorted."""
+    names = P.wiki(pages).select("stem", F.lower("stem").alias("key"))
+    found = P.wiki(pages).select(F.col("stem").alias("source"), F.explode(F.array_distinct(T.link_targets(F.col("content")))).alias("target"))
+    return found.withColumn("key", F.lower("target")).join(names, "key").groupBy("stem").agg(F.countDistinct("source").alias("inlinks"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def missing_reverse(pages: DataFrame) -> DataFrame:
+def missing_reverse(pages: DataFrame, all_edges: DataFrame | None = None) -> DataFrame:
     """Typed edges A to B without any edge from B to A."""
-    all_edges = edges(pages)
+    all_edges = edges(pages) if all_edges is None else all_edges
     back = all_edges.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct()
     return all_edges.where("type <> 'neutral'").join(back, ["source", "target"], "left_anti").select("source", "target", "type")
 
 
+def missing(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Of links (source, target) the distinct ones whose target is no name (column stem)."""
+    keys = names.select(F.lower("stem").alias("key")).distinct()
+    return found.select("source", "target").distinct().withColumn("key", F.lower("target")).join(keys, "key", "left_anti").select("source", "target")
+
+
+def gaps(pages: DataFrame) -> DataFrame:
+    """source, target of links in any page's content to pages that don't exist."""
+    return missing(pages.select(F.col("stem").alias("source"), F.explode(T.link_targets(F.col("content"))).alias("target")), pages)
+
+
 def traverse(seeds: DataFrame, all_edges: DataFrame, depth: int, start: float = 10.0) -> DataFrame:
-    """node, score: seeds (stem, ord) spread along out-edges, `depth` times.
+    """node, score, path, ord: seeds (stem, ord) spread along out-edges, `depth` times.
 
     In each layer the candidates of a target are folded in the order of layer and edge: one that exceeds the target's
-    score so far is added to it and goes on in the next layer. Targets don't touch each other within a layer.
-    """
-    from ..plans.stages import cut
+    score so far is added to it, its path becomes the target's, and it goes on in the next layer. Targets don't touch
+    each other within a layer. A node also follows the edges of a page whose stem is its own in lower case, after its own.
 
-    visited = seeds.select(F.col("stem").alias("node"), F.lit(start).alias("score"))
-    layer = seeds.select(F.col("stem").alias("node"), F.lit(start).alias("score"), F.array(F.col("ord").cast("long")).alias("ord"))
+    Only candidates above all before them can be accepted, so that each task first drops those that can't be: a hub
+    gathers a few strictly rising candidates, however many edges lead to it.
+    """
+    seeds, all_edges = cut(seeds), cut(all_edges.select("source", "target", "type", "weight", "pos"))
+    first = seeds.select(F.col("stem").alias("node"), F.lit(start).alias("score"), F.array("stem").alias("path"), F.array(F.col("ord").cast("long")).alias("ord"))
+    visited = layer = first
+    outward = all_edges.select("source", "target", "weight", F.array(F.lit(0).cast("long"), F.col("pos").cast("long"), F.xxhash64("target", "type")).alias("at"))
     for d in range(depth):
-        candidates = layer.join(all_edges, layer["node"] == all_edges["source"]).select(
-            "target", (F.col("score") * F.col("weight") / F.lit(float(d + 1))).alias("new"), F.concat("ord", F.array(F.col("pos").cast("long"), F.xxhash64("target", "type"))).alias("at")
-        )
-        grouped = candidates.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("found"))
-        zero = F.struct(F.col("score").alias("score"), F.array().cast("array<struct<at:array<bigint>,new:double>>").alias("sent"))
+        own = layer.join(outward, layer["node"] == outward["source"])
+        other = layer.where(F.lower("node") != F.col("node")).join(outward, F.lower("node") == F.col("source")).withColumn("at", F.concat(F.array(F.lit(1).cast("long")), F.slice("at", 2, 2)))
+        both = own.unionByName(other).join(visited.select(F.col("node").alias("to"), F.col("score").alias("had")), F.col("target") == F.col("to"), "left")
+        candidates = both.select("target", (F.col("score") * F.col("weight") / F.lit(float(d + 1))).alias("new"), F.concat("ord", "at").alias("at"), F.concat("path", F.array("target")).alias("path"), "had")
+        # Strictly rising maxima, first within a share of the candidates, then over all shares.
+        dealt = candidates.where("had IS NULL OR new > had").withColumn("share", F.pmod(F.xxhash64("at"), F.lit(64)))
+        for by in (("target", "share"), ("target",)):
+            before = F.max("new").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+            dealt = dealt.withColumn("before", before).where("before IS NULL OR new > before").drop("before")
+        grouped = dealt.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("at", "new", "path"))).alias("found"), F.first("had").alias("had"))
+        kept = F.array().cast("array<struct<at:array<bigint>,new:double,path:array<string>>>")
         folded = F.aggregate(
-            "found", zero,
+            "found", F.struct(F.col("had").alias("score"), kept.alias("sent")),
             lambda a, c: F.when(a["score"].isNull() | (c["new"] > a["score"]), F.struct((F.coalesce(a["score"], F.lit(0.0)) + c["new"]).alias("score"), F.concat(a["sent"], F.array(c)).alias("sent"))).otherwise(a),
         )
-        met = cut(grouped.join(visited, grouped["target"] == visited["node"], "left").select("target", folded.alias("f")))
-        layer = met.select(F.col("target").alias("node"), F.explode("f.sent").alias("s")).select("node", F.col("s.new").alias("score"), F.col("s.at").alias("ord"))
-        rest = visited.join(met, visited["node"] == met["target"], "left_anti")
-        visited = cut(rest.unionByName(met.select(F.col("target").alias("node"), F.col("f.score").alias("score"))))
+        met = cut(grouped.select("target", folded.alias("f")))
+        layer = met.select(F.col("target").alias("node"), F.explode("f.sent").alias("s")).select("node", F.col("s.new").alias("score"), "s.path", F.col("s.at").alias("ord"))
+        again = met.join(visited.select("node", F.col("ord").alias("seen")), met["target"] == F.col("node"), "left")
+        moved = again.select(F.col("target").alias("node"), F.col("f.score").alias("score"), F.element_at("f.sent", -1)["path"].alias("path"), F.coalesce("seen", F.get("f.sent", F.lit(0))["at"]).alias("ord"))
+        visited = cut(visited.join(met, visited["node"] == met["target"], "left_anti").unionByName(moved))
     return visited
 
 
-def seeds(pages: DataFrame, question: str, top: int = 5) -> DataFrame:
-    """The best pages for a question: 10 for each word of the title, 3 for each of the topic, 1 for each longer word in the text's start."""
-    words = sorted(set(question.lower().split()))
-    title = F.size(F.array_intersect(F.split(F.lower("stem"), r"\s+"), F.array(*map(F.lit, words)))) * 10
-    topic = F.size(F.array_intersect(F.split(F.translate("topic", "/-", "  "), r"\s+"), F.array(*map(F.lit, words)))) * 3
-    start = F.lower(F.substring("content", 1, 500))
-    inside = sum((F.contains(start, F.lit(w)).cast("int") for w in words if len(w) > 3), F.lit(0))
-    scored = pages.select("stem", "dir", (title + topic + inside).cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "dir", "stem").limit(top)
-    return scored.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "dir", "stem")))
+def reached(seeds: DataFrame, all_edges: DataFrame, names: DataFrame, depth: int = 2) -> DataFrame:
+    """rank, stem, score (two decimals), path of the existing pages (names: stem) that a traversal reaches, best first; without edges the seeds."""
+    found = traverse(seeds, all_edges, depth)
+    best = found.join(names.select("stem").distinct(), F.col("node") == F.col("stem"))
+    order = Window.orderBy(F.desc("score"), F.size("ord"), "ord", "stem")
+    return best.select(F.row_number().over(order).cast("long").alias("rank"), "stem", F.bround("score", 2).alias("score"), "path")

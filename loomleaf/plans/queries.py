@@ -1,128 +1,329 @@
-"""The queries of the page engine over the driver's tables, and their SQL for DuckDB."""
+"""The queries of the page engine over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, retrieval, rules, wiki
-from ..sources.rendered import PAGES, pages
+from ..operators import graph, merge, provenance, quality, retrieval, rules, state
+from ..operators import pages as P
+from ..sources import markdown, rendered
 from ..streaming import recheck
+from .sql import SQL  # noqa: F401  (registered beside the queries)
+from .stages import place
 
-QUESTION = "doc 17 domain en status"
+QUESTION = "which document 17 domain en status"
 SEARCH = "the thing source licensed"
-SOURCE = "Doc 17 and Doc 170 share their definition with a source of relationships; both cite others."
-BUDGET = 900
+SOURCE = "Document 17 and Doc 170 share their definition with a source of relationships; both cite others."
+NOW, TODAY, CREATED = "2025-01-20 00:00:00", "2025-12-31", "2026-04-15"
 
 
 def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def recheck_fold(spark, d):
-    checks = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("page"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("stale"))
-    return recheck.fold(checks).drop("last_checked_at")
+def _pages(spark, d):
+    return rendered.pages(spark, d)
+
+
+def _side(spark, d):
+    return rendered.sidecars(spark, d)
+
+
+def _files(spark, d):
+    return rendered.files(spark, d)
+
+
+def _lint(spark, d):
+    return rules.lint(_pages(spark, d), _side(spark, d), _files(spark, d))
+
+
+def _facts(spark, d):
+    return rules.facts(P.linted(_pages(spark, d)))
+
+
+def _of(code):
+    return lambda s, d: rules.alone(_facts(s, d)).where(F.col("code") == code)
+
+
+def _checks(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("page"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("stale"))
+
+
+def _levels(spark, d):
+    return _checks(spark, d).select("page", F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), (F.pmod("page", F.lit(3)) + 1).cast("int")).alias("confidence")).distinct()
+
+
+def _schedule(spark, d):
+    return recheck.fold(_checks(spark, d), _levels(spark, d))
+
+
+def _state(spark, d):
+    return state.page_state(_pages(spark, d), _side(spark, d), _files(spark, d))
+
+
+def _stale_users(spark, d):
+    """Users with a refund or error amount stand for pages whose sources changed."""
+    return _checks(spark, d).where("page % 7 = 3").select(F.col("page").alias("stem")).distinct()
+
+
+def _drafts(spark, d):
+    return _pages(spark, d).where("dir = 'drafts'")
+
+
+def _sources(spark, d):
+    """Documents as source files: two in three Markdown, named by source and id."""
+    ending = F.when(F.col("doc_id") % 5 == 0, ".py").when(F.col("doc_id") % 7 == 0, ".pdf").when(F.col("doc_id") % 11 == 0, "_transcript.txt").otherwise(".md")
+    return _docs(spark, d).select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), ending).alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _sidecar_rows(spark, d, shift):
+    """Two sets of sidecars that share some sources and claims: every document has them by id; the second's claims differ for some."""
+    docs = _docs(spark, d).select("doc_id", "source")
+    k = F.col("doc_id")
+    sources = F.array(F.struct(F.concat("source", F.lit(".md")).alias("file"), F.lit("h0").alias("content_hash")), F.struct(F.when(k % 4 == 0, "").otherwise("x.md").alias("file"), (k % (2 + shift)).cast("string").alias("content_hash")))
+    claims = F.array(F.struct(F.lit("c").alias("id"), F.concat(F.lit("claim of "), (k % (3 + shift)).cast("string")).alias("text"), F.array(F.lit("b"), F.lit("a")).alias("sources")), F.struct(F.lit("c").alias("id"), F.lit("same").alias("text"), F.array(F.lit("a")).alias("sources")))
+    kept = docs.where(k % (5 + shift) != 0)
+    return kept.select(F.concat(F.lit("Doc "), k.cast("string")).alias("stem"), sources.alias("sources"), claims.alias("claims"), F.array(F.concat(F.lit("t"), (k % (2 + shift)).cast("string"))).alias("derived_concepts"))
+
+
+def merge_provenance(spark, d):
+    found = provenance.merged(_sidecar_rows(spark, d, 0), _sidecar_rows(spark, d, 1))
+    told = (
+        F.array_join(F.transform("sources", lambda s: F.concat(s["file"], F.lit("#"), s["content_hash"])), "|").alias("sources"),
+        F.array_join(F.transform("claims", lambda c: F.concat(c["id"], F.lit("#"), c["text"])), "|").alias("claims"), F.array_join("derived_concepts", "|").alias("derived"),
+    )
+    return found.select("stem", *told)
+
+
+def traverse(spark, d, depth):
+    own = _pages(spark, d)
+    return graph.reached(retrieval.seeds(own, retrieval.variants(QUESTION)), graph.edges(own), P.wiki(own), depth).select("stem", "score", F.array_join("path", " > ").alias("path"))
+
+
+def traverse_depth1(spark, d):
+    return traverse(spark, d, 1).select("stem", "score")
 
 
 def context_seeds(spark, d):
-    found = pages(spark, d)
-    ranked = graph.seeds(found, QUESTION).select("stem", F.col("ord").cast("long").alias("ord")).join(found.select("stem", "type", "confidence", "content"), "stem")
-    return retrieval.context(ranked, BUDGET).select("ord", "stem", "n_chars")
+    found = _pages(spark, d)
+    ranked = retrieval.seeds(found, retrieval.variants(QUESTION)).select("stem", "ord").join(found.select("stem", "type", "confidence", "content"), "stem")
+    return retrieval.context(ranked).select("ord", "stem", "n_chars")
+
+
+def index_boost(spark, d):
+    lines = _pages(spark, d).select(F.col("doc_id").alias("ord"), F.concat(F.lit("- [["), "stem", F.lit("]] — "), "topic").alias("line"))
+    return retrieval.index_boost(lines, QUESTION)
+
+
+def expand_query(spark, d):
+    return spark.createDataFrame(list(enumerate(retrieval.variants(QUESTION), 1)), "q bigint, question string")
+
+
+def _pack(spark, d):
+    stale = provenance.stale_sources(_side(spark, d), _files(spark, d)).select("stem").distinct()
+    return retrieval.pack(_pages(spark, d), stale, _lint(spark, d), QUESTION)
+
+
+def pack_pages(spark, d):
+    found = _pack(spark, d)["pages"]
+    return found.select("reading", "stem", "title", "type", "confidence", "stale", "score", "rank_score", F.array_join("path", " > ").alias("path"), F.array_join("headings", "|").alias("headings"))
+
+
+def pack_claims(spark, d):
+    return _pack(spark, d)["claims"].select("ord", "stem", "claim_no", "text", F.array_join("sources", ",").alias("sources"))
+
+
+def claims(spark, d):
+    refs = F.array_join(F.transform("source_refs", lambda r: F.concat(r["source"], F.lit("#"), r["section"])), "|")
+    return P.claims(_pages(spark, d)).select("stem", "claim_no", "id", F.md5("text").alias("text_md5"), "confidence", "section", F.array_join("sources", "|").alias("sources"), refs.alias("refs"), "corroborated")
+
+
+def state_pages(spark, d):
+    joined = {c: F.array_join(c, "|") for c in ("tags", "outlinks", "inlinks")}
+    return _state(spark, d).withColumns(joined).select("stem", "type", "confidence", "tags", "outlinks", "inlinks", "last_updated", "stale", "thin", "contradictory")
+
+
+def source_coverage(spark, d):
+    """Headings of a source: the languages of its documents, and two that nobody cites."""
+    rows = _docs(spark, d).select(F.concat("source", F.lit(".md")).alias("source"), F.upper("lang").alias("heading")).distinct()
+    more = rows.select("source").distinct().select("source", F.explode(F.array(F.lit("Risks"), F.lit("Evidence"))).alias("heading"))
+    return quality.coverage(_pages(spark, d), rows.unionByName(more))
+
+
+def page_quality(spark, d):
+    return quality.page_quality(_pages(spark, d), _lint(spark, d), _side(spark, d), _files(spark, d))
+
+
+def promote_upsert(spark, d):
+    """Drafts get pages of concepts with their names as predecessors."""
+    all_ = _pages(spark, d)
+    drafts = _drafts(spark, d)
+    old = drafts.where("doc_id % 2 = 1").withColumns({"dir": F.lit("concepts"), "source_refs": F.array(F.lit("first.md"), F.concat("source", F.lit(".md"))), "content": F.lit("old")})
+    issues = rules.validate(drafts, all_, _side(spark, d))
+    done = merge.promoted(drafts, all_.unionByName(old), issues)
+    return done.select("stem", "dir", F.array_join("source_refs", "|").alias("source_refs"), F.md5("content").alias("content_md5"))
+
+
+def merge_pages(spark, d):
+    done = merge.merged(_pages(spark, d), "Doc 20", "Doc 21", TODAY)
+    return done.select("stem", F.md5("content").alias("content_md5"), F.array_join("aliases", "|").alias("aliases"), F.array_join("source_refs", "|").alias("source_refs"), F.array_join("tags", "|").alias("tags"), "last_updated")
+
+
+def page_reader(spark, d):
+    """Pages written out with their heads, and read again by the parser of heads."""
+    files = markdown.rendered(_pages(spark, d))
+    read = markdown.parsed(files)
+    lists = [F.array_join(c, "|").alias(c) for c in ("source_refs", "tags", "aliases", "related_concepts")]
+    return read.select("stem", "dir", "title", "type", "confidence", "entity_type", "created", "last_updated", "content_hash", *lists, F.size("fields").cast("long").alias("n_fields"), F.md5("content").alias("content_md5"))
+
+
+def registry_new(spark, d):
+    sources = _sources(spark, d)
+    held = sources.where("filename LIKE 'src1%'").select(T.content_hash(F.col("text")).alias("content_hash"))
+    return merge.registered(sources, held, TODAY).select("filename", "source_type", "content_hash")
+
+
+def scaffold(spark, d):
+    issues = rules.broken_links(_facts(spark, d))
+    asked = state.missing_pages(issues).select(F.col("target").alias("title"))
+    return state.scaffolded(asked, _pages(spark, d), created=TODAY).select("stem", "type", "confidence", "created", F.array_join("source_refs", "|").alias("source_refs"), "content_hash")
+
+
+def migrate(spark, d):
+    bare = _pages(spark, d).withColumns({"content_hash": F.lit(None).cast("string"), "confidence": F.lit(None).cast("string")})
+    done = P.migrated(bare, CREATED)
+    return done.select("stem", "content_hash", "confidence", "created", F.array_join("source_refs", "|").alias("source_refs"))
+
+
+def ingest_plan(spark, d):
+    return state.ingest_plan(_sources(spark, d)).withColumn("headings", F.array_join("headings", "|"))
+
+
+def save_answer(spark, d):
+    found = _pages(spark, d)
+    ranked = retrieval.seeds(found, retrieval.variants(QUESTION)).select("stem", "ord").join(found.select("stem", "type", "confidence", "content", "source_refs"), "stem")
+    held = retrieval.context(ranked).join(found.select("stem", "source_refs"), "stem")
+    return state.saved_answer(held, QUESTION, "Answer", TODAY).select("stem", "type", "confidence", F.array_join("source_refs", "|").alias("source_refs"), "content_hash")
+
+
+def _artifact(kind):
+    return lambda s, d: state.artifact(_pack(s, d), kind, "Document 17").select(F.lit(kind).alias("kind"), F.char_length("content").cast("long").alias("n_chars"), "content")
+
+
+def suggested_actions(spark, d):
+    issues = _lint(spark, d)
+    stale = provenance.stale_pages(_side(spark, d), _files(spark, d))
+    return state.actions(state.missing_pages(issues).select("target"), stale, state.health(issues))
+
+
+def stream_recheck(spark, d):
+    """The checks as a stream of files, taken in by the stateful operator."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    checks = events.select(F.col("user_id").cast("string").alias("page"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("stale"))
+    folder = place(spark, "recheck")
+    recheck.run_stream(checks, f"{folder}/updates", f"{folder}/state")
+    found = recheck.latest(spark.read.parquet(f"{folder}/updates"))
+    return found.select(F.col("page").cast("long").alias("page"), "total_checks", "stale_count", "clean_count", "interval_h")
 
 
 QUERIES = {
-    "page_scan": lambda s, d: pages(s, d).select("stem", "dir", "type", "confidence", "created", T.content_hash(F.col("content")).alias("content_hash")),
+    "page_scan": lambda s, d: _pages(s, d).select("stem", "dir", "type", "confidence", "created", T.content_hash(F.col("content")).alias("content_hash")),
+    "page_reader": page_reader,
     "tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).cast("long").alias("n_distinct")),
-    "find_by_meta": lambda s, d: pages(s, d).where("topic = 'domain/en' AND confidence = 'HIGH'").select("stem", "type"),
-    "sections": lambda s, d: wiki.sections(pages(s, d)).select("stem", F.col("ord").cast("long").alias("ord"), "heading"),
-    "citations": lambda s, d: wiki.citations(pages(s, d)).groupBy("file", "section").agg(F.count(F.lit(1)).alias("n")),
-    "claims": lambda s, d: wiki.claims(pages(s, d)).groupBy("claim_no").agg(F.count(F.lit(1)).alias("n")),
-    "links": lambda s, d: graph.links(pages(s, d)).select("source", F.col("pos").cast("long").alias("pos"), "target", "rel"),
-    "typed_edges": lambda s, d: graph.edges(pages(s, d)).select("source", "target", "type", "weight"),
-    "graph_counts": lambda s, d: graph.edges(pages(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")),
-    "inlinks": lambda s, d: graph.inlinks(pages(s, d)),
-    "missing_reverse_links": lambda s, d: graph.missing_reverse(pages(s, d)),
-    "seed_pages": lambda s, d: graph.seeds(pages(s, d), QUESTION).select("stem", "score"),
-    "traverse_depth2": lambda s, d: graph.traverse(graph.seeds(pages(s, d), QUESTION), graph.edges(pages(s, d)), 2),
-    "lint_broken_links": lambda s, d: rules.broken_links(pages(s, d)),
-    "lint_orphans": lambda s, d: rules.orphans(pages(s, d)),
-    "lint_low_connectivity": lambda s, d: rules.low_connectivity(pages(s, d)),
-    "lint_contradictions": lambda s, d: rules.contradictions(pages(s, d)),
-    "health": lambda s, d: wiki.health(rules.lint(pages(s, d))),
-    "page_quality": lambda s, d: wiki.page_quality(pages(s, d), rules.lint(pages(s, d))),
-    "index_by_type": lambda s, d: wiki.index_by(pages(s, d), "type", "unknown"),
-    "index_by_topic": lambda s, d: wiki.index_by(pages(s, d), "topic", "untagged"),
-    "index_by_source": lambda s, d: wiki.index_by(pages(s, d), "source", "no-source"),
-    "timeline": lambda s, d: wiki.timeline(pages(s, d)),
-    "register_dedup": lambda s, d: wiki.register(_docs(s, d)),
-    "search_sources": lambda s, d: wiki.search(_docs(s, d), SEARCH),
-    "recheck_fold": recheck_fold,
+    "slugs": lambda s, d: _docs(s, d).select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"), T.normal_name(F.substring("text", 1, 40)).alias("normal")),
+    "classify_source": lambda s, d: _sources(s, d).select("filename", T.source_type(F.col("filename")).alias("source_type"), T.stem_of(F.concat(F.lit("a/b/"), "filename")).alias("stem")),
+    "find_by_meta": lambda s, d: P.find(_pages(s, d), "domain/en", "HIGH").select("stem", "type", F.array_join("tags", "|").alias("tags")),
+    "page_sets": lambda s, d: _pages(s, d).select("stem", P.is_index().alias("generated")).join(P.by_stem(_pages(s, d)).select("stem", F.lit(True).alias("wiki")), "stem", "left").select("stem", "generated", F.coalesce("wiki", F.lit(False)).alias("wiki")),
+    "sections": lambda s, d: P.sections(_pages(s, d)).select("stem", F.col("ord").cast("long").alias("ord"), "heading", F.md5("body").alias("body_md5")),
+    "headings": lambda s, d: P.headings(_pages(s, d).select("stem", "content"), "content").select("stem", F.col("ord").cast("long").alias("ord"), F.col("level").cast("long").alias("level"), "heading"),
+    "citations": lambda s, d: P.citations(_pages(s, d)).groupBy("file", "section").agg(F.count(F.lit(1)).alias("n")),
+    "claims": claims,
+    "links": lambda s, d: graph.links(_pages(s, d)).select("source", F.col("pos").cast("long").alias("pos"), "target", "rel"),
+    "typed_edges": lambda s, d: graph.edges(_pages(s, d)).select("source", "target", "type", "weight"),
+    "graph_nodes": lambda s, d: graph.nodes(_pages(s, d)),
+    "graph_counts": lambda s, d: graph.edges(_pages(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")),
+    "untyped_graph": lambda s, d: graph.untyped(_pages(s, d)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")),
+    "inlinks": lambda s, d: graph.inlinks(_pages(s, d)).select("stem", "inlinks", F.array_join("sources", "|").alias("sources")),
+    "missing_reverse_links": lambda s, d: graph.missing_reverse(_pages(s, d)),
+    "gap_pages": lambda s, d: graph.gaps(_pages(s, d)),
+    "expand_query": expand_query,
+    "index_boost": index_boost,
+    "seed_pages": lambda s, d: retrieval.seeds(_pages(s, d), retrieval.variants(QUESTION)),
+    "traverse_depth1": traverse_depth1,
+    "traverse_depth2": lambda s, d: traverse(s, d, 2),
     "context_seeds": context_seeds,
-    "merge_candidates": lambda s, d: retrieval.merge_candidates(pages(s, d), SOURCE),
-    "triage_missing_pages": lambda s, d: retrieval.missing_pages(rules.lint(pages(s, d))),
-    "thin_pages": lambda s, d: retrieval.thin(pages(s, d)),
-    "missing_counter_arguments": lambda s, d: retrieval.without_counter_arguments(pages(s, d)),
-    "contradiction_blocks": lambda s, d: retrieval.contradiction_blocks(pages(s, d)),
-}
-
-_PAGES = PAGES.format(documents="documents", labels="labels")
-_LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
-_W = f"WITH p AS ({_PAGES})"
-# The oracle takes links from the relational columns that pages are rendered from, not from the rendered text.
-_L = f"""{_W}, n AS (SELECT count(*) AS n FROM documents), raw AS (
- SELECT 'Doc ' || doc_id AS source, 0::BIGINT AS pos, 'Doc ' || ((doc_id * 7 + 1) % n) AS target,
-  list_extract(['cites','implements','extends','contradicts','prerequisite_of','derived_from','trades_off','neutral'], (doc_id % 8 + 1)::INT) AS rel FROM documents, n WHERE doc_id % 11 <> 0
- UNION ALL SELECT 'Doc ' || doc_id, 1, 'Doc ' || ((doc_id * 3 + 2) % (n + 7)), 'cites' FROM documents, n WHERE doc_id % 11 <> 0),
- e AS (SELECT source, target, rel AS type, min(pos) AS pos, CASE rel WHEN 'cites' THEN 4 WHEN 'contradicts' THEN 3 WHEN 'implements' THEN 3 WHEN 'extends' THEN 2
-  WHEN 'prerequisite_of' THEN 2 WHEN 'derived_from' THEN 2 ELSE 1 END::DOUBLE AS weight FROM raw GROUP BY ALL)"""
-_I = f"""{_L}, i AS (
- SELECT 'WARNING' AS severity, 'BROKEN_LINK' AS code, source AS page, 'Link to missing page: [[' || target || ']]' AS message FROM (SELECT DISTINCT source, target FROM raw) WHERE target NOT IN (SELECT stem FROM p)
- UNION ALL SELECT 'WARNING', 'ORPHAN_PAGE', stem, 'No incoming or outgoing links' FROM p WHERE doc_id % 11 = 0 AND stem NOT IN (SELECT target FROM raw)
- UNION ALL SELECT 'WARNING', 'LOW_CONNECTIVITY', stem, 'Fewer than two links' FROM p WHERE type = 'concept' AND doc_id % 11 = 0
- UNION ALL SELECT 'WARNING', 'UNRESOLVED_CONTRADICTION', stem, 'Contradiction not resolved' FROM p WHERE doc_id % 13 = 0
- UNION ALL SELECT 'WARNING', 'MISSING_SECTION', stem, 'No section Relationships' FROM p WHERE doc_id % 11 = 0)"""
-
-_T = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
-_Q = "['doc', '17', 'domain', 'en', 'status']"
-_S = f"""{_W}, scored AS (SELECT *, (10 * len(list_intersect(list_distinct(string_split(lower(stem), ' ')), {_Q})) + 3 * len(list_intersect(list_distinct(string_split(topic, '/')), {_Q}))
-  + CASE WHEN contains(lower(substr(content, 1, 500)), 'domain') THEN 1 ELSE 0 END + CASE WHEN contains(lower(substr(content, 1, 500)), 'status') THEN 1 ELSE 0 END)::BIGINT AS score FROM p),
- s AS (SELECT *, row_number() OVER (ORDER BY score DESC, dir, stem) AS ord FROM scored WHERE score > 0 QUALIFY ord <= 5)"""
-_HITS = " + ".join(f"least((length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}, 25)" for w in SEARCH.split())
-
-
-def _index(key: str) -> str:
-    return f"{_W} SELECT {key} AS key, count(*) AS n, min(stem) AS first_stem, max(stem) AS last_stem FROM p GROUP BY 1"
-
-
-SQL = {
-    "page_scan": f"{_W} SELECT stem, dir, type, confidence, created, substr(sha256(content), 1, 16) AS content_hash FROM p",
-    "tokens": "SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2) AS t FROM documents)",
-    "find_by_meta": "SELECT 'Doc ' || d.doc_id AS stem, CASE WHEN d.doc_id % 5 = 4 THEN 'entity' ELSE 'concept' END AS type FROM documents d JOIN labels l USING (doc_id) WHERE lang = 'en' AND quality = 1",
-    "sections": "SELECT 'Doc ' || doc_id AS stem, 0::BIGINT AS ord, 'Definition' AS heading FROM documents UNION ALL SELECT 'Doc ' || doc_id, 1, 'Relationships' FROM documents WHERE doc_id % 11 <> 0",
-    "citations": "SELECT source || '.md' AS file, lang AS section, count(*) AS n FROM documents GROUP BY ALL",
-    "links": f"{_L} SELECT source, pos, target, rel FROM raw",
-    "typed_edges": f"{_L} SELECT source, target, type, weight FROM e",
-    "graph_counts": f"{_L} SELECT type, count(*) AS n, sum(weight) AS weight FROM e GROUP BY type",
-    "inlinks": f"{_L} SELECT target AS stem, count(DISTINCT source) AS inlinks FROM raw WHERE target IN (SELECT stem FROM p) GROUP BY target",
-    "missing_reverse_links": f"{_L} SELECT source, target, type FROM e WHERE type <> 'neutral' AND NOT EXISTS (SELECT 1 FROM e b WHERE b.source = e.target AND b.target = e.source)",
-    "lint_broken_links": f"{_I} SELECT * FROM i WHERE code = 'BROKEN_LINK'",
-    "lint_orphans": f"{_I} SELECT * FROM i WHERE code = 'ORPHAN_PAGE'",
-    "lint_low_connectivity": f"{_I} SELECT * FROM i WHERE code = 'LOW_CONNECTIVITY'",
-    "lint_contradictions": f"{_I} SELECT * FROM i WHERE code = 'UNRESOLVED_CONTRADICTION'",
-    "health": f"{_I} SELECT severity, code, count(*) AS n FROM i GROUP BY ALL",
-    "page_quality": f"{_I} SELECT stem, greatest(0, 100 - 10 - CASE WHEN doc_id % 11 = 0 AND type = 'concept' THEN 10 ELSE 0 END - coalesce(lost, 0))::BIGINT AS score FROM p LEFT JOIN (SELECT page, sum(CASE code WHEN 'BROKEN_LINK' THEN 2 ELSE 3 END) AS lost FROM i GROUP BY page) q ON p.stem = q.page",
-    "index_by_type": _index("type"),
-    "index_by_topic": _index("topic"),
-    "index_by_source": _index("source"),
-    "timeline": f"{_W} SELECT substr(created, 1, 7) AS month, count(*) AS n FROM p GROUP BY 1",
-    "register_dedup": "SELECT substr(sha256(text), 1, 16) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "recheck_fold": "WITH c AS (SELECT user_id AS page, event_type = 'error' AS stale, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), g AS (SELECT page, count(*) AS total_checks, count(*) FILTER (stale) AS stale_count, coalesce(max(k) FILTER (stale), 1) AS since FROM c GROUP BY page) SELECT page, total_checks, stale_count, total_checks - stale_count AS clean_count, least(24.0::DOUBLE * pow(1.5::DOUBLE, (total_checks - since)::DOUBLE), 168.0::DOUBLE) AS interval_h FROM g",
-    "seed_pages": f"{_S} SELECT stem, score FROM s",
-    "search_sources": f"SELECT doc_id, score FROM (SELECT doc_id, ({_HITS})::BIGINT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5",
-    "context_seeds": f"{_S}, c AS (SELECT ord, stem, length('## [' || stem || '] (type: ' || type || ', confidence: ' || confidence || ')' || content || repeat(chr(10), 5) || '---') AS n_chars FROM s) SELECT ord, stem, n_chars FROM (SELECT *, sum(n_chars) OVER (ORDER BY ord) AS total FROM c) WHERE total <= {BUDGET}",
-    "merge_candidates": f"{_W}, m AS (SELECT stem, (10 * len(list_intersect({_T.format('stem')}, {_T.format(repr(SOURCE))})) + len(list_intersect({_T.format('substr(content, 1, 5000)')}, {_T.format(repr(SOURCE))})))::BIGINT AS score FROM p) SELECT stem, score FROM m WHERE score > 0 ORDER BY score DESC, stem LIMIT 5",
-    "triage_missing_pages": f"{_L} SELECT target, count(DISTINCT source) AS n, min(source) AS first_page, 20 + 10 * count(DISTINCT source) AS score FROM raw WHERE target NOT IN (SELECT stem FROM p) GROUP BY target",
-    "thin_pages": "SELECT 'Doc ' || doc_id AS stem, 1::BIGINT AS n_sections FROM documents WHERE doc_id % 11 = 0",
-    "missing_counter_arguments": "SELECT 'Doc ' || d.doc_id AS stem, CASE WHEN quality = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS DISTINCT FROM 0",
-    "contradiction_blocks": "SELECT 'Doc ' || doc_id AS stem, 1::BIGINT AS n FROM documents WHERE doc_id % 13 = 0",
+    "search_sources": lambda s, d: retrieval.search(_docs(s, d).select("doc_id", "text"), SEARCH),
+    "snippets": lambda s, d: retrieval.snippets(_docs(s, d), SEARCH, "doc_id").select("doc_id", "n", F.md5("snippet").alias("snippet_md5")),
+    "merge_candidates": lambda s, d: retrieval.merge_candidates(_pages(s, d), SOURCE),
+    "pack_pages": pack_pages,
+    "pack_claims": pack_claims,
+    "pack_relationships": lambda s, d: _pack(s, d)["relationships"],
+    "pack_missing": lambda s, d: _pack(s, d)["missing"],
+    "pack_summary": lambda s, d: _pack(s, d)["summary"],
+    "draft_case_study": _artifact("case-study"),
+    "draft_playbook": _artifact("playbook"),
+    "draft_decision_memo": _artifact("decision-memo"),
+    "draft_brief": _artifact("brief"),
+    "save_answer": save_answer,
+    "suggested_actions": suggested_actions,
+    "lint_broken_links": lambda s, d: rules.broken_links(_facts(s, d)),
+    "lint_orphans": lambda s, d: rules.orphans(_facts(s, d)),
+    "lint_missing_frontmatter": _of("MISSING_FRONTMATTER"),
+    "lint_invalid_type": _of("INVALID_TYPE"),
+    "lint_no_sources": _of("NO_SOURCES"),
+    "lint_low_connectivity": _of("LOW_CONNECTIVITY"),
+    "lint_stale_pages": lambda s, d: rules.stale(_facts(s, d), _side(s, d), _files(s, d)),
+    "lint_contradictions": _of("UNRESOLVED_CONTRADICTION"),
+    "lint_empty_sections": _of("EMPTY_SECTION"),
+    "lint_duplicates": lambda s, d: rules.duplicates(_facts(s, d)),
+    "lint_unmarked_inference": _of("UNMARKED_INFERENCE"),
+    "lint_missing_hash": lambda s, d: rules.missing_hash(_facts(s, d), _side(s, d)),
+    "lint_all": _lint,
+    "lint_by_code": lambda s, d: state.by_code(_lint(s, d)),
+    "health": lambda s, d: state.health(_lint(s, d)),
+    "health_strict": lambda s, d: state.health(_lint(s, d), strict=True).withColumn("status", state.status(F.col("errors"), F.col("warnings"))),
+    "validate_drafts": lambda s, d: rules.validate(_drafts(s, d), _pages(s, d), _side(s, d)),
+    "validation_report": lambda s, d: rules.report(rules.validate(_drafts(s, d), _pages(s, d), _side(s, d))),
+    "stale_pages": lambda s, d: provenance.stale_pages(_side(s, d), _files(s, d)).select("stem", F.array_join("files", "|").alias("files")),
+    "merge_provenance": merge_provenance,
+    "claim_sources": lambda s, d: provenance.claim_sources(P.claims(_pages(s, d)), "Doc 1", "claim-2"),
+    "page_quality": page_quality,
+    "wiki_quality": lambda s, d: quality.wiki_quality(page_quality(s, d)),
+    "source_coverage": source_coverage,
+    "index_by_type": lambda s, d: merge.index_by(_pages(s, d), merge.types()),
+    "index_by_topic": lambda s, d: merge.index_by(_pages(s, d), merge.exploded("tags", "untagged")),
+    "index_by_source": lambda s, d: merge.index_by(_pages(s, d), merge.exploded("source_refs", "no-source")),
+    "index_lines": lambda s, d: merge.listed(_pages(s, d), merge.types()),
+    "timeline": lambda s, d: merge.timeline(_pages(s, d)),
+    "recently_updated": lambda s, d: merge.recently_updated(_pages(s, d), TODAY),
+    "dup_title": lambda s, d: merge.by_title(_pages(s, d)),
+    "dup_alias": lambda s, d: merge.by_alias(_pages(s, d)),
+    "promote_upsert": promote_upsert,
+    "merge_pages": merge_pages,
+    "register_dedup": lambda s, d: merge.register(_docs(s, d)),
+    "registry_new": registry_new,
+    "check_ingested": lambda s, d: merge.ingested(_sources(s, d), _sources(s, d).where("filename LIKE 'src1%'").select(T.content_hash(F.col("text")).alias("content_hash"))),
+    "ingest_plan": ingest_plan,
+    "migrate": migrate,
+    "scaffold": scaffold,
+    "thin_pages": lambda s, d: P.thin(P.wiki(_pages(s, d))),
+    "thin_all": lambda s, d: P.thin(_pages(s, d), 4),
+    "missing_counter_arguments": lambda s, d: P.without_counter_arguments(_pages(s, d)),
+    "contradiction_pages": lambda s, d: P.contradicting(P.wiki(_pages(s, d))),
+    "contradiction_blocks": lambda s, d: P.contradiction_blocks(_pages(s, d)),
+    "state_pages": state_pages,
+    "recent_changes": lambda s, d: state.recent_changes(_state(s, d)),
+    "compact_state": lambda s, d: state.compact(_state(s, d)).select("stem", "last_updated", "stale", "thin", "contradictory"),
+    "refine_tasks": lambda s, d: state.tasks(_pages(s, d), _side(s, d), _files(s, d)).select("task_type", "severity", "page", "detail"),
+    "task_totals": lambda s, d: state.tasks(_pages(s, d), _side(s, d), _files(s, d)).groupBy("severity").agg(F.count(F.lit(1)).alias("n")),
+    "triage_missing_pages": lambda s, d: state.missing_pages(_lint(s, d)),
+    "triage": lambda s, d: state.triage(_lint(s, d), _state(s, d)).select("id", "type", "priority", "score", "title"),
+    "recheck_fold": lambda s, d: _schedule(s, d).drop("last_checked_at"),
+    "recheck_due": lambda s, d: recheck.due(_schedule(s, d), NOW, _stale_users(s, d), "HIGH").select("page", "confidence", "interval_h", F.bround("overdue_h", 6).alias("overdue_h"), "is_stale"),
+    "recheck_run": lambda s, d: recheck.run(_levels(s, d).select(F.col("page").alias("stem")), _schedule(s, d), _stale_users(s, d), NOW),
+    "recheck_recorded": lambda s, d: recheck.recorded(_schedule(s, d), _stale_users(s, d).select(F.col("stem").alias("page"), (F.col("stem") % 2 == 0).alias("stale")), NOW).select("page", "confidence", "total_checks", "stale_count", "clean_count", "interval_h"),
+    "recheck_summary": lambda s, d: recheck.summary(_schedule(s, d)).select("confidence", "pages", "checks", "stale"),
+    "stream_recheck": stream_recheck,
 }
