@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set (tests, one machine), a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. On one machine (a local master) that names none, as in tests, a temporary one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="loomleaf-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder
@@ -34,17 +36,35 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there, so that later steps neither repeat nor depend on what made it. Spark removes the files once nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but as Parquet: smaller, for tables with many rows."""
+    """Writes df as Parquet to the shared folder and goes on from there, so that later steps neither repeat nor depend on what made it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def tidy(spark: SparkSession) -> None:
+    """Spark removes the files of shuffles once the driver has collected its references to them: at once, not at the next periodic collection."""
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables on which nothing depends any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores in front as tell them from all columns, however these are spelled."""
+    taken = {c.lower() for c in columns}
+    front = ""
+    while any(f"{front}{n}".lower() in taken for n in names):
+        front += "_"
+    return [f"{front}{n}" for n in names]
 
 
 def whole_text(column: str = "text"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, whole_text
+from .common import fresh, map_arrow, whole_text
 
 UNIT = 64  # bytes of the payload in a row of blocks
 MOST_ROWS = 65535 // 8  # a file is at most 65,535 pixels high; longer payloads go on in another file
@@ -356,8 +356,8 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 def store(df: DataFrame, column: str = "text", into: str = "media") -> DataFrame:
     """df without `column`, and with its texts stored in binary column `into`; `n_bytes`: bytes of the text itself. Columns of these two names are replaced."""
     rest = [c for c in df.columns if c not in (column, into, "n_bytes")]
-    held = df.select(*[F.col(f"`{c}`") for c in rest], whole_text(column).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_text")
+    held = df.select(*[F.col(f"`{c}`") for c in rest], whole_text(column).alias(fresh(df.columns, "_text")[0]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
 
     def write(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.num_columns - 1).to_pylist()
@@ -372,8 +372,8 @@ def describe(df: DataFrame, column: str = "media") -> DataFrame:
     """df without `column`, and with what the stored files hold: payload digest, dimensions, thumbnail hash, error."""
     made = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "n_files": "int", "width": "int", "height": "int", "feature": "string", "error": "string"}
     rest = [c for c in df.columns if c != column and c not in made]
-    held = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias("_media"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_media")
+    held = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias(fresh(df.columns, "_media")[0]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = batch.column(batch.num_columns - 1).to_pylist()

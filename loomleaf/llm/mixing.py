@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, whole_text
+from .common import WORD, fresh, stored, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -58,7 +58,8 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST
     text = whole_text()
     sized = stored(df.select(F.col(f"`{id_column}`").alias("doc_id"), "source", F.xxhash64(text).alias("text_digest"), n_words().alias("size")), "mix-sizes")
     digits = max(FEWEST, len(f"{sized.count() // RANGE_ROWS:x}"))
-    random = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # Null ids are dealt by their texts.
+    random = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_digest").cast("string")))))
     keyed = sized.withColumn("key", _name()).withColumn("random", random).withColumn("range", F.substring("random", 1, digits))
     ranges = keyed.groupBy("key", "range").agg(F.sum("size").alias("range_size"))
     bounds = targets(ranges.groupBy("key").agg(F.sum("range_size").alias("source_size")), weights, share, most)
@@ -77,13 +78,14 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The rows of df as often as the mix takes them. The document in which a budget ends is taken once more if at least half of it lies within."""
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    id_, digest, key, times, rows_, copy = fresh(df.columns, "_id", "_digest", "_key", "_times", "_rows", "_copy")
+    whole = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     # Rows that are equal in id, text and source share what these take.
-    share = mix(df, **options).withColumn("_times", times).groupBy(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest"), _name().alias("_key")).agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0")
-    rows = df.withColumns({"_id": F.col("doc_id"), "_digest": F.xxhash64(whole_text()), "_key": _name()})
-    same = rows["_id"].eqNullSafe(share["_id"]) & (rows["_digest"] == share["_digest"]) & (rows["_key"] == share["_key"])
-    found = rows.join(share, same).select(*[rows[c] for c in df.columns], rows["_id"], rows["_digest"], rows["_key"], "_times", "_rows")
-    order = F.row_number().over(Window.partitionBy("_id", "_digest", "_key").orderBy(F.lit(1)))
-    several = found.where("_rows > 1").withColumn("_times", (F.floor(F.col("_times") / F.col("_rows")) + (order <= F.col("_times") % F.col("_rows")).cast("int")).cast("int"))
-    each = found.where("_rows = 1").withColumn("_times", F.col("_times").cast("int")).unionByName(several).where("_times > 0")
-    return each.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    share = mix(df, **options).withColumn(times, whole).groupBy(F.col("doc_id").alias(id_), F.col("text_digest").alias(digest), _name().alias(key)).agg(F.sum(times).alias(times), F.count(F.lit(1)).alias(rows_)).where(F.col(times) > 0)
+    rows = df.withColumns({id_: F.col("doc_id"), digest: F.xxhash64(whole_text()), key: _name()})
+    same = rows[id_].eqNullSafe(share[id_]) & (rows[digest] == share[digest]) & (rows[key] == share[key])
+    found = rows.join(share, same).select(*[rows[f"`{c}`"] for c in df.columns], rows[id_], rows[digest], rows[key], times, rows_)
+    order = F.row_number().over(Window.partitionBy(id_, digest, key).orderBy(F.lit(1)))
+    several = found.where(F.col(rows_) > 1).withColumn(times, (F.floor(F.col(times) / F.col(rows_)) + (order <= F.col(times) % F.col(rows_)).cast("int")).cast("int"))
+    each = found.where(F.col(rows_) == 1).withColumn(times, F.col(times).cast("int")).unionByName(several).where(F.col(times) > 0)
+    return each.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, whole_text
+from .common import fresh, map_arrow, whole_text
 
 SAMPLE, ROUNDS, RATE, BINS, PAIRS, COARSE = 20_000, 150, 0.1, 32, 8, 8
 FEATURES = ("bytes", "words", "word_bytes", "distinct", "top_word", "letters", "upper", "digits", "spaces", "marks", "symbols", "beyond_ascii", "bars", "lines", "line_words", "repeated_lines", "short_lines", "marked_words", "long_words")
@@ -162,7 +162,7 @@ def score(df: DataFrame, model: Additive, folds: int = 3, fold: int = 1) -> Data
     """df with held_out, score and predicted."""
     made = ("held_out", "score", "predicted")
     rest = [c for c in df.columns if c not in made]
-    held = df.select(*[F.col(f"`{c}`") for c in rest], held_out(folds, fold).alias("held_out"), whole_text().alias("_t"))
+    held = df.select(*[F.col(f"`{c}`") for c in rest], held_out(folds, fold).alias("held_out"), whole_text().alias(fresh(df.columns, "_t")[0]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
