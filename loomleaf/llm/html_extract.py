@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import fresh, map_arrow, stored
 
-FEWEST, IMPORTANCE, PRESENTED = 5, 0.3, 0.2
+FEWEST, IMPORTANCE, PRESENTED, SHARES = 5, 0.3, 0.2, 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("nav footer aside form script style noscript template button select option textarea input iframe svg canvas object dialog head title menu audio video".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CONTENT = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMED = re.compile(
     r"(?:^|[-_\s])(?:nav|navbar|navigation|menus?|side-?bar|ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|"
@@ -64,13 +65,14 @@ class Page(HTMLParser):
         # Inline elements matter if they hide their content.
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         label = f"{named.get('class', '')} {named.get('id', '')}".strip()
-        content = tag in ("article", "main", "body", "html") and not re.search("comment|repl", label, re.I)
+        content = tag in CONTENT and not re.search("comment|repl", label, re.I)
         noise = tag in NEVER or "hidden" in named or named.get("role", "").lower() in ROLES or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower() or (not content and bool(label) and bool(NAMED.search(label)))
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             return
-        if tag in INLINE and not noise:
+        # Within a hidden inline element all inline elements are kept track of, so that its own end is found.
+        if tag in INLINE and not noise and self.open[-1][0] not in INLINE:
             return
         self.flush()
         if tag in CLOSES_P:
@@ -116,8 +118,9 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     from xxhash import xxh64_intdigest
 
     rest = [c for c in df.columns if c not in (html, "host", "text", "n_chars")]
+    page, nodes_, row, cut_, page_row = fresh(df.columns, "_html", "_blocks", "_row", "_cut", "_page_row")
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    held = df.select(*[F.col(f"`{c}`") for c in rest], host.alias("host"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("_html"))
+    held = df.select(*[F.col(f"`{c}`") for c in rest], host.alias("host"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias(page))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
     kind = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("sure", pa.bool_()), ("text", pa.string())]))
 
@@ -126,18 +129,21 @@ def extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
             return xxh64_intdigest(x.encode()) - (1 << 63)
 
         rows = [[{"path": signed(p), "content": signed(t), "sure": s, "text": t} for p, s, t in blocks(h)] for h in batch.column(batch.num_columns - 1).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], [*rest, "host", "_blocks"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], [*rest, "host", nodes_])
 
-    parsed = map_arrow(held, run, f"{kinds}, _blocks array<struct<path:long,content:long,sure:boolean,text:string>>")
-    parsed = stored(parsed.withColumn("_row", F.monotonically_increasing_id()), "pages")
+    parsed = map_arrow(held, run, f"{kinds}, {nodes_} array<struct<path:long,content:long,sure:boolean,text:string>>")
+    parsed = stored(parsed.withColumn(row, F.monotonically_increasing_id()), "pages")
     # Copies of a page count once in the tree, as a single digest of its contents tells them apart.
-    pages = parsed.select("host", F.transform("_blocks", lambda b: F.struct(b["path"], b["content"], b["sure"])).alias("nodes")).groupBy("host", F.xxhash64("nodes").alias("page")).agg(F.first("nodes").alias("nodes"))
+    pages = parsed.select("host", F.transform(nodes_, lambda b: F.struct(b["path"], b["content"], b["sure"])).alias("nodes")).groupBy("host", F.xxhash64("nodes").alias("page")).agg(F.first("nodes").alias("nodes"))
     shown = pages.select("host", "page", F.inline("nodes")).toDF("host", "page", "path", "content", "sure")
     each = shown.distinct().groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.max("sure").alias("sure"))
     nodes = each.groupBy("host", "path").agg(F.sum("n").alias("shown"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"), F.max("sure").alias("sure"))
     low = nodes.where((F.col("shown") >= FEWEST) & (F.col("entropy") / F.log("shown") + F.when(F.col("sure"), PRESENTED).otherwise(0.0) < IMPORTANCE)).select("host", "path")
-    there = parsed.select("_row", "host", F.explode(F.array_distinct(F.transform("_blocks", lambda b: b["path"]))).alias("path"))
-    cut = there.join(low, ["host", "path"]).groupBy("_row").agg(F.collect_set("path").alias("_cut"))
-    trimmed = parsed.join(cut, "_row", "left").withColumn("_blocks", F.when(F.col("_cut").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains("_cut", b["path"]))))
-    text = F.array_join(F.transform("_blocks", lambda b: b["text"]), " ")
+    # A node of a large host meets its pages in several groups.
+    there = parsed.select(F.col(row).alias(page_row), "host", F.explode(F.array_distinct(F.transform(nodes_, lambda b: b["path"]))).alias("path")).withColumn("share", F.pmod(F.col(page_row), F.lit(SHARES)))
+    low = low.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    cut = there.join(low, ["host", "path", "share"]).groupBy(page_row).agg(F.collect_set("path").alias(cut_))
+    trimmed = parsed.join(cut, parsed[row] == cut[page_row], "left")
+    left = F.when(F.col(cut_).isNull(), F.col(nodes_)).otherwise(F.filter(nodes_, lambda b: ~F.array_contains(cut_, b["path"])))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
     return trimmed.select(*[F.col(f"`{c}`") for c in rest], "host", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
