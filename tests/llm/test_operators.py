@@ -46,7 +46,6 @@ def test_simhash_components(spark):
     assert {tuple(r) for r in simhash.links(prints).select(F.least("a", "b"), F.greatest("a", "b")).collect()} == {(1, 7), (7, 31), (1, 1 << 40)}
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(ROWS, DOCS)).collect()}
     assert got == {(1, 1), (2, 2), (3, 2), (4, 4)}
-    assert sorted(r.doc_id for r in simhash.kept(spark.createDataFrame(ROWS, DOCS)).collect()) == [1, 2, 4]
 
 
 def test_near_copies_as_brute_force(spark):
@@ -81,7 +80,7 @@ def test_line_dedup(spark):
     rows = [(1, f"one\n{passage}\ntwo"), (2, f"three\n{passage}"), (3, "short\nline"), (4, "short\nline"), (5, None)]
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "three", 3: "short\nline", 4: "short\nline", 5: None}
-    assert all("\n".join(c for c, _ in line_dedup.chunks(t)) == t for t in ["", "\n\n", "a\n", f"{passage}\n\nb"])
+    assert all(" ".join(line_dedup.chunks(t)).split() == t.split() for t in ["", "\n\n", "a\n", f"{passage}\n\nb", "x" * 100_000, "é ü\nz"])
 
 
 def test_main_text(spark):
