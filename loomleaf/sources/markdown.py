@@ -126,10 +126,10 @@ def read_sources(spark: SparkSession, folder: str, endings: tuple[str, ...] = RE
     return kept.select("path", "filename", T.source_type(F.col("filename")).alias("source_type"), text.alias("text"), T.content_hash(F.col("raw")).alias("content_hash"), F.char_length(text).cast("long").alias("n_chars"))
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file as a table of a known schema (graph, state, health, schedule); empty if it is missing or no JSON."""
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
+    """JSON as a table of a known schema (graph, state, health, schedule), a row a line or a file; empty if it is missing or no JSON."""
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path)
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", str(not lines).lower()).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -139,7 +139,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_manifest(spark: SparkSession, *paths: str) -> DataFrame:
     """The sources of the first manifest that is there (a manifest, then an example of one); none if there is none."""
     for path in paths:
-        found = read_json(spark, path, f"sources array<struct<{', '.join(f'{c.split(maxsplit=1)[0]}:{c.split(maxsplit=1)[1]}' for c in MANIFEST.split(', '))}>>")
+        found = read_json(spark, path, f"sources array<struct<{', '.join(f'{c.split(maxsplit=1)[0]}:{c.split(maxsplit=1)[1]}' for c in MANIFEST.split(', '))}>>", False)
         if not found.isEmpty():
             return found.select(F.inline("sources"))
     return spark.createDataFrame([], MANIFEST)
