@@ -40,11 +40,16 @@ def fingerprint(text: str, words: int) -> int:
     if not found:
         return 0
     last = max(1, len(found) - words + 1)
+    return majority(np.array([xxh64_intdigest(b" ".join(found[i : i + words]), 42) for i in range(last)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     sums = np.zeros(64, np.int64)
-    for start in range(0, last, 1 << 14):
-        hashes = np.array([xxh64_intdigest(b" ".join(found[i : i + words]), 42) for i in range(start, min(last, start + (1 << 14)))], ">u8")
-        sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(sums * 2 > last).tobytes(), "big")
+    for start in range(0, len(hashes), 1 << 14):
+        part = hashes[start : start + (1 << 14)].astype(">u8")
+        sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(sums * 2 > len(hashes)).tobytes(), "big")
 
 
 @lru_cache(1)
@@ -109,16 +114,16 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= BITS:
         raise ValueError("the segments hold for at most two differing bits")
 
-    def keyed(near: bool):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            at, key = keys(fp.view(np.uint64), near)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at])], ["key", "b" if near else "a"])
-
-        return map_arrow(prints, run, f"key long, {'b' if near else 'a'} long")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = batch.column(0).to_numpy(zero_copy_only=False)
+        found = [keys(fp.view(np.uint64), near) for near in (False, True)]
+        asks = np.repeat([True, False], [len(at) for at, _ in found])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key for _, key in found])), pa.array(fp[np.concatenate([at for at, _ in found])]), pa.array(asks)], ["key", "fp", "asks"])
 
+    keyed = stored(map_arrow(prints, run, "key long, fp long, asks boolean", 1 << 16), "keys")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return keyed(False).join(keyed(True), "key").where((F.col("a") < F.col("b")) & (differ <= bits)).select("a", "b").distinct()
+    asking, asked = keyed.where("asks").select("key", F.col("fp").alias("a")), keyed.where("NOT asks").select("key", F.col("fp").alias("b"))
+    return asking.join(asked, "key").where((F.col("a") < F.col("b")) & (differ <= bits)).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = 3, bits: int = BITS, id_column: str = "doc_id") -> DataFrame:
@@ -129,11 +134,3 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = BITS, id_column:
     named = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def kept(df: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
-    """The rows of df without near copies: of each component the row with its least doc_id (one of several equal ids). Rows without an id stay."""
-    found = near_duplicates(df.where("doc_id IS NOT NULL").select("doc_id", "text"), words, bits)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = df.join(first, df["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(df.where("doc_id IS NULL"))
