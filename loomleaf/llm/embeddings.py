@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .graph import components
 
 SAMPLE, CELL, BLOCK, ROUNDS = 4096, 512, 1024, 12
@@ -137,7 +137,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, recall: float = 0.995,
     bound = reach_for(known, books, cosine, recall) if size > 1 else 4.0
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # In slices: each row has a distance to each centre.
+        for batch in (piece for whole in batches for piece in slices(whole, 1 << 19)):
             lists = batch.column("embedding").to_pylist()
             same = np.array([len(e) == size for e in lists], bool)
             # Vectors of other lengths share one cell for each length.
