@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -207,8 +210,17 @@ def save_answer(spark, d):
     return state.saved_answer(held, QUESTION, "Answer", TODAY).select("stem", "type", "confidence", F.array_join("source_refs", "|").alias("source_refs"), "content_hash")
 
 
-def _artifact(kind):
-    return lambda s, d: state.artifact(_pack(s, d), kind, "Document 17").select(F.lit(kind).alias("kind"), F.char_length("content").cast("long").alias("n_chars"), "content")
+def draft_artifacts(spark, d):
+    """The four kinds of documents over one pack."""
+    parts = _pack(spark, d)
+    return reduce(DataFrame.unionByName, (state.artifact(parts, kind, "Document 17").select(F.lit(kind).alias("kind"), "content") for kind in state.ARTIFACTS))
+
+
+def pack_ranked(spark, d):
+    """A pack's pages over a traversal of one step."""
+    own, stale = _pages(spark, d), provenance.stale_sources(_side(spark, d), _files(spark, d))
+    found = graph.reached(retrieval.seeds(own, retrieval.variants(QUESTION)), graph.edges(own), P.wiki(own), 1)
+    return retrieval.pack_pages(own, found, stale, QUESTION).select("stem", "title", "type", "confidence", "stale", "score", "rank_score")
 
 
 def suggested_actions(spark, d):
@@ -260,12 +272,8 @@ QUERIES = {
     "pack_pages": pack_pages,
     "pack_claims": pack_claims,
     "pack_relationships": lambda s, d: _pack(s, d)["relationships"],
-    "pack_missing": lambda s, d: _pack(s, d)["missing"],
-    "pack_summary": lambda s, d: _pack(s, d)["summary"],
-    "draft_case_study": _artifact("case-study"),
-    "draft_playbook": _artifact("playbook"),
-    "draft_decision_memo": _artifact("decision-memo"),
-    "draft_brief": _artifact("brief"),
+    "pack_ranked": pack_ranked,
+    "draft_artifacts": draft_artifacts,
     "save_answer": save_answer,
     "suggested_actions": suggested_actions,
     "lint_broken_links": lambda s, d: rules.broken_links(_facts(s, d)),

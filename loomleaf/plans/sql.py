@@ -218,6 +218,12 @@ _SQL = {
     "recheck_summary": "SELECT confidence, count(*) AS pages, sum(total_checks)::BIGINT AS checks, sum(stale_count)::BIGINT AS stale FROM sch GROUP BY confidence",
     "stream_recheck": "SELECT page, total_checks, stale_count, total_checks - stale_count AS clean_count, least(24.0::DOUBLE * pow(1.5::DOUBLE, (total_checks - since)::DOUBLE), 168.0::DOUBLE) AS interval_h FROM g",
 }
+CTE["t1"] = _SQL["traverse_depth1"]
+_ASK = "which document 17 domain en status"
+_SQL["pack_ranked"] = f"""SELECT t1.stem, coalesce(title, t1.stem) AS title, coalesce(type, 'unknown') AS type, confidence, t1.stem IN (SELECT stem FROM stale) AS stale, t1.score, round_even(t1.score
+  + CASE WHEN lower(trim(coalesce(title, t1.stem))) = '{_ASK}' THEN 100 ELSE 0 END + CASE WHEN contains('{_ASK}', lower(coalesce(title, t1.stem))) OR contains(lower(coalesce(title, t1.stem)), '{_ASK}') THEN 35 ELSE 0 END
+  + 14 * len(list_intersect({TOKENS.format(repr(_ASK))}, {TOKENS.format('coalesce(title, t1.stem)')})) + 2 * len(list_intersect({TOKENS.format(repr(_ASK))}, {TOKENS.format('substr(content, 1, 2000)')}))
+  + CASE WHEN t1.stem IN (SELECT stem FROM seeds) AND t1.score = 10 THEN 10 ELSE 0 END + CASE confidence WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 4 ELSE 0 END - CASE WHEN t1.stem IN (SELECT stem FROM stale) THEN 30 ELSE 0 END, 2) AS rank_score FROM t1 JOIN wp USING (stem)"""
 _SQL["task_totals"] = f"SELECT severity, count(*) AS n FROM ({_SQL['refine_tasks']}) GROUP BY severity"
 # Arrays without repeats, in order of first occurrence.
 _DISTINCT = "[x_ for x_, at_ in {0} if list_position({0}, x_) = at_]"
