@@ -54,8 +54,6 @@ FROM pages WHERE doc_id % 16 <> 9
 #: Source files: path and current hash.
 FILES = """SELECT DISTINCT 'article/' || source || '.md' AS path, substr(sha2(source, 256), 1, 16) AS content_hash FROM documents"""
 
-FIELDS = ("title", "type", "confidence", "entity_type", "created", "last_updated", "source_refs", "content_hash", "tags", "aliases", "related_concepts")
-
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels")}
