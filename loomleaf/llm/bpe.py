@@ -5,7 +5,7 @@ in arrays. An inverted index leads from what a token pair makes to the positions
 rank order, each at all its positions at once, and only the neighbours of a merged pair are looked at again. A word in
 which a merge makes a pair of lower rank than the merge itself goes through the plain greedy procedure instead, so
 that results are those of the greedy procedure for any vocabulary. What a task's worker has encoded it remembers, up
-to MEMORY words.
+to MEMORY bytes of words.
 
 Defined results: a null text counts as empty and has no ids; texts are encoded whole; null ids decode to null;
 repeated rows stay; empty tables give empty results; columns of the input named like the result column are replaced.
@@ -24,11 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, whole_text
+from .common import fresh, map_arrow, whole_text
 
-MEMORY = 250_000
-#: Bytes of text in a block.
-BLOCK = 4 << 20
+#: Bytes of remembered words, and of text in a block.
+MEMORY, BLOCK = 4 << 20, 2 << 20
 
 
 class Vocabulary:
@@ -59,7 +58,7 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.held, self.sizes = _Numbers(), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self.known, self.held, self.sizes, self.remembered = _Numbers(), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of what pairs of tokens make, -1 if nothing."""
@@ -178,7 +177,7 @@ class Vocabulary:
 
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
-        if len(self.known) > MEMORY:
+        if self.remembered > MEMORY:
             self.forget()
         known = self.known
         # Copies in a block are split once.
@@ -189,7 +188,9 @@ class Vocabulary:
         numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
         del split
         if known.new:
-            ids, counts = self.replay([w.encode() for w in known.new])
+            words_ = [w.encode() for w in known.new]
+            self.remembered += sum(map(len, words_))
+            ids, counts = self.replay(words_)
             known.new.clear()
             self.held = [np.concatenate([*self.held, ids])]
             self.sizes = [np.concatenate([*self.sizes, counts])]
@@ -241,35 +242,46 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _replaced(df: DataFrame, column: str, into: str, value, kind: str, work) -> DataFrame:
-    rest = [c for c in df.columns if c != into]
-    held = df.select(*[F.col(f"`{c}`") for c in rest], value.alias("_in"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
+def _replaced(df: DataFrame, column: str, into: dict[str, str], value, work) -> DataFrame:
+    """df with the columns of `into` (and their types), that `work` makes of a column."""
+    rest = [c for c in df.columns if c not in into]
+    held = df.select(*[F.col(f"`{c}`") for c in rest], value.alias(fresh(df.columns, "_in")[0]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], work(batch.column(batch.num_columns - 1))], [*rest, into])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *work(batch.column(batch.num_columns - 1))], [*rest, *into])
 
-    return map_arrow(held, run, ", ".join(filter(None, [kinds, f"`{into}` {kind}"])), BLOCK)
+    return map_arrow(held, run, ", ".join([*kinds, *(f"`{k}` {v}" for k, v in into.items())]), BLOCK)
 
 
-def encode(df: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids") -> DataFrame:
-    """df with the ids (array of int) of its texts in column `into`."""
+def _ids(texts: pa.Array, path: str, pattern: str) -> pa.Array:
+    ids, counts = vocabulary(path, pattern).encode_block(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def _bytes(ids: pa.Array, path: str, pattern: str) -> pa.Array:
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    data, sizes = vocabulary(path, pattern).decode_block(flat, counts)
+    made = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(ids.is_valid(), made, pa.scalar(None, pa.binary())) if ids.null_count else made
 
-    def work(texts):
-        ids, counts = vocabulary(path, pattern).encode_block(texts.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
 
-    return _replaced(df, column, into, whole_text(column), "array<int>", work)
+def encode(df: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids") -> DataFrame:
+    """df with the ids (array of int) of its texts in column `into`."""
+    return _replaced(df, column, {into: "array<int>"}, whole_text(column), lambda texts: [_ids(texts, path, pattern)])
 
 
 def decode(df: DataFrame, path: str, pattern: str, column: str = "ids", into: str = "decoded") -> DataFrame:
     """df with the bytes of its ids in column `into`."""
+    return _replaced(df, column, {into: "binary"}, F.col(f"`{column}`"), lambda ids: [_bytes(ids, path, pattern)])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, column: str = "text", into: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """As encode and then decode, in one pass: one Python worker a task, and one vocabulary in it."""
 
-    def work(ids):
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        data, sizes = vocabulary(path, pattern).decode_block(flat, counts)
-        made = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(data)])
-        return pc.if_else(ids.is_valid(), made, pa.scalar(None, pa.binary())) if ids.null_count else made
+    def work(texts: pa.Array) -> list[pa.Array]:
+        ids = _ids(texts, path, pattern)
+        return [ids, _bytes(ids, path, pattern)]
 
-    return _replaced(df, column, into, F.col(f"`{column}`"), "binary", work)
+    return _replaced(df, column, dict(zip(into, ("array<int>", "binary"))), whole_text(column), work)

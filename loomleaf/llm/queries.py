@@ -26,7 +26,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where), *where)
+    done = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *where)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
