@@ -1,13 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""SimHash near-dedup by the exact similarity of word shingles.
 
-Two texts are linked if the sets of their runs of five words have a Jaccard similarity of 0.8 or more. At that similarity
-fingerprints of 64 bits differ in about ten bits, more than keys of their parts can bring together without loss, so
-candidates come from prefixes: with shingles in one order for all texts, two linked sets of n and m shingles share one
-among the first n // 5 + 1 and m // 5 + 1. No link is missed, whatever the order; shingles that are frequent in a
-sample go last, which only makes prefixes rarer. Candidates are verified with their whole sets (64-bit hashes).
+Two texts are linked if the sets of their runs of five words have a Jaccard similarity of 0.8 or more. Candidates come
+from two sides. Golay-code keys of the texts' SimHash fingerprints (llm/simhash.py) bring together those that differ in
+two bits at most. At a similarity of 0.8, though, fingerprints of 64 bits differ in about ten bits, more than keys of
+their segments can reach without loss; so further candidates come from prefixes: with shingles in one order for all
+texts, two linked sets of n and m shingles share one among the first n // 5 + 1 and m // 5 + 1. No link is missed,
+whatever the order; shingles that are frequent in a sample go last, which only makes prefixes rarer. All candidates are
+verified with their whole sets (64-bit hashes).
 
-Within the large groups that share a shingle, neighbours are linked first; then all pairs whose members aren't joined
-yet are looked at, so that a large group of near copies isn't compared pair by pair.
+Of the sets that share a shingle one is the hub, by a hash, so that those who share many shingles have the same hub; all
+others are compared with it first. Then only pairs whose members aren't joined yet are looked at, if their sizes and the
+places of what they share allow the similarity, so that a large group of near copies isn't compared pair by pair.
 
 Defined results: a null text counts as empty; texts without words are copies of each other; a text of fewer than five
 words is one shingle; repeated rows stay in near_duplicates, each in its component; other columns are not read.
@@ -20,28 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, whole_text
+from . import simhash
+from .common import discard, fresh, map_arrow, stored, tidy, whole_text
 from .graph import components
 
 WORDS = 5
-#: Groups of so many and more are linked by neighbours first; one text of so many is in the sample, of which so many shingles are known as frequent.
-LARGE, SAMPLE, FREQUENT = 8, 16, 50_000
+#: One text of so many is in the sample, of which so many shingles are known as frequent.
+SAMPLE, FREQUENT = 16, 50_000
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of all runs of WORDS words."""
+def runs(text: str) -> np.ndarray:
+    """The hashes of all runs of WORDS words, repeats included."""
     from xxhash import xxh64_intdigest
 
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     words = np.array([xxh64_intdigest(w) for w in found], np.uint64)
-    runs = max(1, len(words) - WORDS + 1)
-    hashes = np.full(runs, min(len(words), WORDS), np.uint64)
+    n = max(1, len(words) - WORDS + 1)
+    hashes = np.full(n, min(len(words), WORDS), np.uint64)
     for k in range(min(len(words), WORDS)):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + words[k : k + runs]
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
         hashes ^= hashes >> np.uint64(29)
-    return np.unique(hashes)
+    return hashes
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct hashes of all runs of WORDS words."""
+    return np.unique(runs(text))
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -75,30 +84,37 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
     return hashes[np.lexsort((hashes, n))][: len(hashes) // 5 + 1]
 
 
-def _pairs(groups: DataFrame, neighbours: bool) -> DataFrame:
-    """a, b (a < b) of each group's members whose sizes allow a similarity of 0.8: neighbours alone, or all that aren't in one component."""
+def _by_hubs(index: DataFrame) -> DataFrame:
+    """a, b (a < b): each set against the hub of each of its shingles."""
+    hubs = index.groupBy("token").agg(F.min_by(F.struct("c", "n"), F.xxhash64(F.lit(5), "c")).alias("hub"))
+    met = index.join(hubs, "token").where("c <> hub.c AND n * 4 <= hub.n * 5 AND hub.n * 4 <= n * 5")
+    return met.select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        lists = batch.column(0)
-        flat, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-        c, n, comp = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        for start, end in zip(ends, ends[1:]):
-            order = start + np.lexsort((c[start:end], n[start:end]))
-            if neighbours:
-                found = [(order[:-1], order[1:])]
-            else:
-                # Sorted by size: the partners of a member go as far as five quarters of its size.
-                to = np.searchsorted(n[order] * 4, n[order] * 5, "right")
-                found = ((np.full(k - i - 1, order[i]), order[i + 1 : k]) for i, k in enumerate(to))
-            for x, y in found:
-                ok = (comp[x] != comp[y]) & (n[y] * 4 <= n[x] * 5)
-                firsts.append(c[x[ok]])
-                seconds.append(c[y[ok]])
-        x, y = np.concatenate(firsts), np.concatenate(seconds)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return map_arrow(groups.select("members"), run, "a long, b long", 1 << 20)
+
+def _open_pairs(index: DataFrame, joined: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs that share a shingle of their prefixes, aren't in one component, and may be similar."""
+    named = index.join(joined, index["c"] == joined["node"], "left").select("token", "c", "n", "pos", F.coalesce("component", "c").alias("comp"))
+    several = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    named = stored(named.join(several, "token"), "open")
+    one, two = (named.select("token", *(F.col(k).alias(f"{k}_{s}") for k in ("c", "n", "pos", "comp"))) for s in "ab")
+    met = one.join(two, "token").where("c_a < c_b AND comp_a <> comp_b AND n_a * 4 <= n_b * 5 AND n_b * 4 <= n_a * 5")
+    # What stands before the shared shingle, itself, and what stands after it.
+    most = F.least("pos_a", "pos_b") + 1 + F.least(F.expr("n_a - 1 - pos_a"), F.expr("n_b - 1 - pos_b"))
+    counted = met.where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).groupBy("c_a", "c_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    # Beyond what their prefixes share, two sets have at most the rest of the longer rest in common.
+    rest = F.greatest(F.expr("n_a - (n_a div 5 + 1)"), F.expr("n_b - (n_b div 5 + 1)"))
+    return counted.where(9 * (F.col("shared") + rest) >= 4 * (F.col("n_a") + F.col("n_b"))).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+
+
+def _by_fingerprints(sets: DataFrame) -> DataFrame:
+    """a, b (a < b): for each fingerprint the least class against the others, and against the least of each fingerprint within two bits."""
+    prints = sets.select("c", "fp").distinct()
+    least = stored(prints.groupBy("fp").agg(F.min("c").alias("least")), "prints")
+    same = prints.join(least, "fp").where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b"))
+    near = simhash.links(least.select("fp"))
+    one, two = (least.select(F.col("fp").alias(k), F.col("least").alias(f"of_{k}")) for k in "ab")
+    found = near.join(one, "a").join(two, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return same.unionByName(found)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -116,7 +132,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
     sets = stored(map_arrow(texts, run, "c long, tokens array<long>").dropDuplicates(["c"]), "sets")
     one, two = (sets.select(F.col("c").alias(k), F.col("tokens").alias(f"of_{k}")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where("9 * common >= 4 * (size(of_a) + size(of_b))").select("a", "b")
+    found = stored(both.where("9 * common >= 4 * (size(of_a) + size(of_b))").select("a", "b"), "links")
+    discard(pairs, sets)
+    return found
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -125,28 +143,24 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     frequent = _frequent(rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in batch.column(1).to_pylist()]
+        every = [runs(t) for t in batch.column(1).to_pylist()]
+        prints = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
+        found = [np.unique(h) for h in every]
         first = pa.array([prefix(h, frequent).view(np.int64) for h in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), first], ["doc_id", "c", "n", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(prints), first], ["doc_id", "c", "n", "fp", "prefix"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    sets = stored(map_arrow(rows, run, f"doc_id {kind}, c long, n long, prefix array<long>"), "shingles")
+    sets = stored(map_arrow(rows, run, f"doc_id {kind}, c long, n long, fp long, prefix array<long>"), "shingles")
     classes = sets.groupBy("c").agg(F.min("doc_id").alias("least"))
-    index = sets.dropDuplicates(["c"]).select("c", "n", F.explode("prefix").alias("token"))
-    members = F.collect_list(F.struct("c", "n", F.col("c").alias("comp"))).alias("members")
-    groups = stored(index.groupBy("token").agg(members).where("size(members) > 1"), "groups")
-    large = _pairs(groups.where(F.size("members") >= LARGE), True).distinct()
-    links = stored(_verified(large, rows, classes), "links")
+    index = sets.dropDuplicates(["c"]).select("c", "n", F.posexplode("prefix").alias("pos", "token"))
+    index = stored(index, "index")
+    again = index.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    every, index = index, stored(index.join(again, "token"), "shared")
+    discard(every)
+    tidy(df.sparkSession)
+    links = _verified(_by_hubs(index).unionByName(_by_fingerprints(sets)).distinct(), rows, classes)
     joined = stored(components(links), "joined")
-    flat = groups.select("token", F.inline("members")).select("token", "c", "n")
-    comp = F.coalesce("component", "c").alias("comp")
-    now = flat.join(joined, flat["c"] == joined["node"], "left").groupBy("token").agg(F.collect_list(F.struct("c", "n", comp)).alias("members"), F.countDistinct(comp).alias("parts")).where("parts > 1")
-    size = sets.dropDuplicates(["c"]).select("c", "n")
-    counted = _pairs(now, False).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = counted.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b")
-    # Beyond what their prefixes share, two sets have at most the rest of the longer rest in common.
-    rest = F.greatest(F.expr("n - (n div 5 + 1)"), F.expr("m - (m div 5 + 1)"))
-    links = links.unionByName(_verified(sized.where(9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), rows, classes))
+    links = links.unionByName(_verified(_open_pairs(index, joined), rows, classes))
     linked = components(links)
     named = classes.join(linked, classes["c"] == linked["node"], "left").select("c", "least", F.coalesce("component", "c").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -156,6 +170,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df without near copies: of each component the row with its least doc_id (one of several equal ids). Rows without an id stay."""
     found = near_duplicates(df.where("doc_id IS NOT NULL").select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = df.join(first, df["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"])
+    key = fresh(df.columns, "_id")[0]
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    rows = df.join(first, df["doc_id"] == first[key], "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(df.where("doc_id IS NULL"))
