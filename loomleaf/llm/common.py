@@ -46,7 +46,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Spark removes the files of shuffles once the driver has collected its references to them: at once, not at the next periodic collection."""
+    """Spark removes the files of shuffles once the driver has collected its references to them: at once, not at the next periodic collection.
+
+    The bus of events holds on to the last query until another one comes, hence the query first.
+    """
+    spark.sql("SELECT 1").collect()
     spark._jvm.System.gc()
 
 
