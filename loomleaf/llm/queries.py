@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html_extract, line_dedup, media, mixing, quality, simhash, token_counts, toxicity
+from . import bpe, embeddings, filter_audit, html_extract, line_dedup, media, mixing, quality, simhash, token_counts, toxicity
 from .common import table
 
 OVER = 512
@@ -66,4 +66,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op7_toxicity, op8_quality, op9_mixing, op10_media)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op7_toxicity, op8_quality, op9_mixing, op10_media, op13_filter_audit)}

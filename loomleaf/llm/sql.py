@@ -22,4 +22,32 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-SQL: dict[str, str] = {"op9_mixing": OP9}
+OP13 = r"""
+WITH counted AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+flags AS (
+  SELECT c.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(c.doc_id > min(c.doc_id) OVER (PARTITION BY t), false) AS e
+  FROM counted c LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON c.doc_id = l.doc_id),
+grouped AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (SELECT filter_order, k AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS gone FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k))
+SELECT part, filter_order, step::INT AS step,
+  CAST(sum(CASE WHEN mask & (own + gone) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & gone <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN mask & own <> 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
+FROM steps, grouped GROUP BY ALL
+"""
+
+SQL: dict[str, str] = {"op9_mixing": OP9, "op13_filter_audit": OP13}
