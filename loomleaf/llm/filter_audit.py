@@ -11,7 +11,7 @@ text's SHA-256, then a join by doc_id and digest, in which the copies of one tex
 
 Defined results: a null text counts as empty (it fails A, and E if a smaller id has an empty or null text); an empty
 text has no words and no characters, so that it passes B and C; a null part is the empty string; rows of a text that share its
-smallest id all pass E; a null id is never smaller or larger, so that it passes E; a row without a label, or with a
+smallest id all pass E; a null id is never smaller or larger, so that it passes E, and has no label; a row without a label, or with a
 null one, has none; of several label rows of an id one that says 1 is enough. Repeated rows count each for itself; an
 empty table gives an empty result; other columns don't matter.
 """

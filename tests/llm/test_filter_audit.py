@@ -12,7 +12,7 @@ DOCS = "doc_id long, text string, lang string, source string, mask string, good
 
 
 def plain(docs, labels):
-    good, toxic = {d for d, q, t in labels if q == 1}, {d for d, q, t in labels if t == 1}
+    good, toxic = {d for d, q, t in labels if q == 1} - {None}, {d for d, q, t in labels if t == 1} - {None}
     told = []
     for d, text, lang, *_ in docs:
         text = text or ""
