@@ -22,6 +22,27 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counted AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4, 5]) AS k)) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::HUGEINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 100),
+cuts AS (SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, t.n, 1000::HUGEINT * c.a * t.n // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.first JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM lowest p WHERE NOT EXISTS (
+    SELECT 1 FROM candidates q WHERE q.lang = p.lang AND q.k > len(string_split(p.phrase, ' ')) AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ') AND 100 * q.a >= 100 * p.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 OP13 = r"""
 WITH counted AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -50,4 +71,4 @@ SELECT part, filter_order, step::INT AS step,
 FROM steps, grouped GROUP BY ALL
 """
 
-SQL: dict[str, str] = {"op9_mixing": OP9, "op13_filter_audit": OP13}
+SQL: dict[str, str] = {"op9_mixing": OP9, "op12_collocations": OP12, "op13_filter_audit": OP13}
