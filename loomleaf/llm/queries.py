@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, embeddings, filter_audit, html_extract, line_dedup, media, mixing, quality, simhash, token_counts, toxicity
+from . import bpe, collocations, embeddings, filter_audit, html_extract, line_dedup, media, mixing, packing, quality, simhash, token_counts, toxicity
 from .common import table
 
 OVER = 512
@@ -66,6 +66,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -74,4 +79,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op7_toxicity, op8_quality, op9_mixing, op10_media, op12_collocations, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html, op3_bpe, op4_simhash, op5_line_dedup, op6_embeddings, op7_toxicity, op8_quality, op9_mixing, op10_media, op11_packing, op12_collocations, op13_filter_audit)}
