@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,31 +50,57 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
 
 
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once, however often f names it within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Links to a step of the outer fold; characters of a text's end in which its last words are looked for first.
+STEP, ENDING = 128, 2000
+#: No word of a relation is longer: of longer ones only the beginning is carried along.
+WORD_MOST = 40
+
+
+def _ending(part: Column) -> Column:
+    """The end of a text, with its last five words at least."""
+    end = F.substring(part, -ENDING, ENDING)
+    return F.when((F.char_length(part) <= ENDING) | (F.size(F.split(end, r"\s+", -1)) > 6), end).otherwise(part)
+
+
 def relations(content: Column) -> Column:
     """Array of (target, rel) of a text's links: a suffix right behind the link, else the nearest of the three words before it, else neutral.
 
-    The words before a link go back over other links and line ends. A fold carries the last words along, so that each
-    part of the text is split once.
+    The words before a link go back over other links and line ends. The text is taken apart once; a fold then carries
+    the last words along. What it finds is joined in steps, so that time grows with the number of links.
     """
     names = "|".join(RELATIONS)
-    parts, whole, targets = F.split(content, LINK, -1), F.regexp_extract_all(content, F.lit(LINK), F.lit(0)), link_targets(content)
-
-    def step(state: Column, i: Column) -> Column:
-        fields = F.split(F.concat(state["tail"], F.when(i > 0, F.get(whole, i - 1)).otherwise(""), F.get(parts, i)), r"\s+", -1)
-        last = F.get(fields, F.size(fields) - 1)
-        # The character right before a link doesn't count.
-        words = F.concat(F.slice(fields, 1, F.size(fields) - 1), F.array(F.substring(last, F.lit(1), F.greatest(F.char_length(last) - 1, F.lit(0)))))
-        words = F.filter(words, lambda w: w != "")
-        near = F.filter(F.reverse(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))), lambda w: F.lower(w).isin(*RELATIONS))
-        suffix = F.regexp_extract(F.get(parts, i + 1), rf"^:({names})\b", 1)
-        rel = F.when(suffix != "", suffix).otherwise(F.coalesce(F.lower(F.get(near, F.lit(0))), F.lit("neutral")))
-        tail = F.array_join(F.slice(fields, F.greatest(F.size(fields) - 4, F.lit(1)), F.lit(5)), " ")
-        return F.struct(tail.alias("tail"), F.concat(state["out"], F.array(F.struct(F.get(targets, i).alias("target"), rel.alias("rel")))).alias("out"))
-
-    zero = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<target:string,rel:string>>").alias("out"))
-    # Texts without links have no places: the sequence would count down.
-    places = F.when(F.size(targets) > 0, F.sequence(F.lit(0), F.size(targets) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step, lambda s: s["out"])
+    parts, targets = F.split(content, LINK, -1), link_targets(content)
+    after = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.regexp_extract(p, rf"^:({names})\b", 1))
+    before = F.transform(F.slice(parts, F.lit(1), F.size(targets)), _ending)
+    places = F.arrays_zip(before.alias("before"), F.regexp_extract_all(content, F.lit(LINK), F.lit(0)).alias("link"), targets.alias("target"), after.alias("suffix"))
+    none = F.array().cast("array<struct<target:string,rel:string>>")
+
+    def step(state: Column, x: Column) -> Column:
+        def found(fields: Column) -> Column:
+            last = F.element_at(fields, -1)
+            # The character right before a link doesn't count.
+            words = F.concat(F.slice(fields, F.lit(1), F.size(fields) - 1), F.array(F.substring(last, F.lit(1), F.greatest(F.char_length(last) - 1, F.lit(0)))))
+            near = held(F.filter(words, lambda w: w != ""), lambda w: F.filter(F.reverse(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))), lambda v: F.lower(v).isin(*RELATIONS)))
+            rel = F.when(x["suffix"] != "", x["suffix"]).otherwise(F.coalesce(F.lower(F.get(near, F.lit(0))), F.lit("neutral")))
+            tail = F.transform(F.slice(fields, F.greatest(F.size(fields) - 4, F.lit(1)), F.lit(5)), lambda w: F.substring(w, 1, WORD_MOST))
+            return F.struct(F.concat(F.array_join(tail, " "), x["link"]).alias("tail"), F.concat(state["out"], F.array(F.struct(x["target"].alias("target"), rel.alias("rel")))).alias("out"))
+
+        return held(F.split(F.concat(state["tail"], x["before"]), r"\s+", -1), found)
+
+    def all_of(each: Column) -> Column:
+        def block(state: Column, k: Column) -> Column:
+            some = F.aggregate(F.slice(each, k * STEP + 1, F.lit(STEP)), F.struct(state["tail"].alias("tail"), none.alias("out")), step)
+            return held(some, lambda r: F.struct(r["tail"].alias("tail"), F.concat(state["out"], r["out"]).alias("out")))
+
+        steps = F.sequence(F.lit(0), F.floor((F.size(each) - 1) / STEP).cast("int"))
+        return F.when(F.size(each) == 0, none).otherwise(F.aggregate(steps, F.struct(F.lit("").alias("tail"), none.alias("out")), block, lambda s: s["out"]))
+
+    return held(places, all_of)
 
 
 def weight(kind: Column) -> Column:
@@ -83,8 +111,12 @@ def sections(content: Column) -> Column:
     """Array of (heading, body) of the second-level sections; of equal headings the first place and the last body."""
     parts = F.slice(F.split(content, r"(?m)^##[ \t]+", -1), 2, 1 << 30)
     each = F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("\n"), F.lit(1))).alias("heading"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
-    heads = F.array_distinct(F.transform(each, lambda s: s["heading"]))
-    return F.transform(heads, lambda h: F.element_at(F.filter(each, lambda s: s["heading"] == h), -1))
+
+    def last(found: Column) -> Column:
+        names = F.transform(found, lambda s: s["heading"])
+        return held(F.reverse(names), lambda back: F.transform(F.array_distinct(names), lambda h: F.element_at(found, (F.size(back) - F.array_position(back, h) + 1).cast("int"))))
+
+    return held(each, last)
 
 
 def strip(text: Column) -> Column:

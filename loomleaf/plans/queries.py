@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import graph, merge, provenance, quality, retrieval, rules, state
 from ..operators import pages as P
 from ..sources import markdown, rendered
-from ..streaming import recheck
+from ..streaming import recheck, schedule
 from .sql import SQL  # noqa: F401  (registered beside the queries)
 from .stages import place
 
@@ -230,14 +230,15 @@ def suggested_actions(spark, d):
 
 
 def stream_recheck(spark, d):
-    """The checks as a stream of files, taken in by the stateful operator."""
+    """The checks as a stream of files, taken in by the stateful operator, which begins with the pages' confidence."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     checks = events.select(F.col("user_id").cast("string").alias("page"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("stale"))
+    none = {c: F.lit(None).cast(k) for c, k in (("total_checks", "long"), ("stale_count", "long"), ("interval_h", "double"), ("last_checked_at", "timestamp_ntz"))}
     folder = place(spark, "recheck")
-    recheck.run_stream(checks, f"{folder}/updates", f"{folder}/state")
-    found = recheck.latest(spark.read.parquet(f"{folder}/updates"))
-    return found.select(F.col("page").cast("long").alias("page"), "total_checks", "stale_count", "clean_count", "interval_h")
+    schedule.run_stream(checks, f"{folder}/updates", f"{folder}/state", _levels(spark, d).withColumns(none))
+    found = schedule.latest(schedule.read_updates(spark, f"{folder}/updates"))
+    return found.select(F.col("page").cast("long").alias("page"), "confidence", "total_checks", "stale_count", "clean_count", "interval_h", "next_check_after")
 
 
 QUERIES = {

@@ -211,6 +211,7 @@ _SQL = {
    SELECT t, page AS title, base + CASE st.confidence WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 8 ELSE 0 END AS score FROM (SELECT page, CASE code WHEN 'STALE_PAGE' THEN 'stale_page' WHEN 'UNRESOLVED_CONTRADICTION' THEN 'contradiction' ELSE 'error' END AS t, CASE code WHEN 'STALE_PAGE' THEN 25 WHEN 'UNRESOLVED_CONTRADICTION' THEN 50 ELSE 100 END AS base FROM i WHERE code IN ('STALE_PAGE', 'UNRESOLVED_CONTRADICTION') OR severity = 'ERROR') LEFT JOIN st ON st.stem = page
    UNION ALL SELECT 'missing_page', target, score FROM mp UNION ALL SELECT 'thin_page', stem, 15 FROM st WHERE thin UNION ALL SELECT 'stale_page', stem, 25 FROM st WHERE stale AND stem NOT IN (SELECT page FROM l7 x(a, b, c, page, m)))""",
     "suggested_actions": "SELECT row_number() OVER (ORDER BY target) AS ord, 'Scaffold missing page: ' || target AS action FROM (SELECT DISTINCT target FROM mp ORDER BY target LIMIT 3) UNION ALL SELECT 3 + row_number() OVER (ORDER BY stem), 'Refresh stale page: ' || stem FROM (SELECT DISTINCT stem FROM stale ORDER BY stem LIMIT 3) UNION ALL SELECT 7, 'Fix lint errors before creating new content'",
+    "stream_recheck": "SELECT page, confidence, total_checks, stale_count, clean_count, interval_h, next_check_after FROM sch",
     "recheck_fold": "SELECT page, confidence, total_checks, stale_count, clean_count, interval_h, next_check_after FROM sch",
     "recheck_due": "SELECT page, confidence, interval_h, round_even(late, 6) AS overdue_h, page % 7 = 3 AS is_stale FROM (SELECT *, (epoch_us(TIMESTAMP '2025-01-20 00:00:00') - epoch_us(next_check_after)) / 3600000000.0::DOUBLE AS late FROM sch) WHERE late > 0 AND confidence = 'HIGH'",
     "recheck_run": "SELECT page, CASE WHEN next_check_after > TIMESTAMP '2025-01-20 00:00:00' THEN 'skipped' WHEN page % 7 = 3 THEN 'stale' ELSE 'clean' END AS bucket FROM sch",

@@ -1,9 +1,7 @@
-"""The recheck schedule: a fold over each page's checks, in batch and as a stream; due pages and a run over them."""
+"""The recheck schedule: a fold over each page's checks, due pages and a run over them. As a stream: schedule.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,44 +74,3 @@ def run(pages: DataFrame, schedule: DataFrame, stale: DataFrame, now: str) -> Da
 
 def summary(schedule: DataFrame) -> DataFrame:
     return schedule.groupBy("confidence").agg(F.count(F.lit(1)).alias("pages"), F.sum("total_checks").alias("checks"), F.sum("stale_count").alias("stale"), F.avg("interval_h").alias("mean_interval_h"))
-
-
-STATE = "total long, stale long, interval double, last timestamp"
-OUT = "page string, total_checks long, stale_count long, clean_count long, interval_h double, last_checked_at timestamp"
-
-
-def stream(checks: DataFrame, confidence: str = "MEDIUM") -> DataFrame:
-    """checks as a stream (page string, ts timestamp, seq long, stale boolean): the schedule of each page after each batch, in update mode. Checks of a batch are taken in the order of time; a later batch goes on from there."""
-    least, most = LEAST[confidence], min(MOST[confidence], CAP)
-
-    def step(key, frames: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        total, stale, interval, last = state.get if state.exists else (0, 0, least, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        for bad, ts in zip(rows["stale"].tolist(), rows["ts"].tolist()):
-            total += 1
-            if bad:
-                stale, interval = stale + 1, least
-            elif total > 1:
-                interval = min(interval * FACTOR, most)
-            last = ts
-        state.update((total, stale, interval, last))
-        yield pd.DataFrame({"page": [key[0]], "total_checks": [total], "stale_count": [stale], "clean_count": [total - stale], "interval_h": [interval], "last_checked_at": [last]})
-
-    return checks.groupBy("page").applyInPandasWithState(step, OUT, STATE, "update", "NoTimeout")
-
-
-def run_stream(checks: DataFrame, path: str, checkpoint: str, confidence: str = "MEDIUM") -> None:
-    """Takes in all checks that are there, and keeps the schedule at `path` up to date: each batch's pages replace what was known of them."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
-
-    stream(checks, confidence).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def latest(updates: DataFrame) -> DataFrame:
-    """Of a stream's updates the last of each page."""
-    names = [c for c in updates.columns if c not in ("page", "batch")]
-    return updates.groupBy("page").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("page", "r.*")

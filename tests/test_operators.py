@@ -193,17 +193,6 @@ def test_schedule_steps(spark):
     assert recheck.due(schedule, "2025-01-05 12:00:00").count() == 0 and recheck.due(schedule, "2025-01-07 00:00:00").first().overdue_h == 12.0
 
 
-def test_stream_goes_on_from_batch_to_batch(spark, tmp_path):
-    kind = "page string, ts timestamp, seq long, stale boolean"
-    every = [("A", datetime.datetime(2025, 1, 1 + i), i, i in (2, 5)) for i in range(8)] + [("B", datetime.datetime(2025, 1, 1), 9, False)]
-    for part in (every[:4], every[4:]):
-        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        recheck.run_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r.page: (r.total_checks, r.stale_count, r.interval_h) for r in recheck.latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    want = {r.page: (r.total_checks, r.stale_count, r.interval_h) for r in recheck.fold(spark.createDataFrame(every, kind)).collect()}
-    assert got == want and want["A"][1] == 2
-
-
 def test_files_there_and_back(spark, tmp_path):
     base = str(tmp_path / "wiki")
     pages = wiki(spark, page("A b", "## D\n\ntext: [[x]]", tags=["t"], created="2025-01-01"), page("E", "y", dir="entities", type="entity"))
