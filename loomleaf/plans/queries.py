@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, merge, provenance, quality, retrieval, rules, state
+from ..operators import candidates, graph, merge, provenance, quality, retrieval, rules, state
 from ..operators import pages as P
 from ..sources import markdown, rendered
 from ..streaming import recheck, schedule
@@ -269,6 +269,7 @@ QUERIES = {
     "context_seeds": context_seeds,
     "search_sources": lambda s, d: retrieval.search(_docs(s, d).select("doc_id", "text"), SEARCH),
     "snippets": lambda s, d: retrieval.snippets(_docs(s, d), SEARCH, "doc_id").select("doc_id", "n", F.md5("snippet").alias("snippet_md5")),
+    "source_candidates": lambda s, d: candidates.candidates(s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("source"), "text"), _pages(s, d)),
     "merge_candidates": lambda s, d: retrieval.merge_candidates(_pages(s, d), SOURCE),
     "pack_pages": pack_pages,
     "pack_claims": pack_claims,
