@@ -17,7 +17,7 @@ from .sources import markdown
 from .streaming import recheck
 
 COMMANDS = {
-    "ingest": ("source",), "process": ("source",), "extract": ("source",), "register": ("source",), "check": ("source",), "validate": ("--promote",), "link": (), "refine": (), "lint": (), "consolidate": (), "state": (), "health": (),
+    "ingest": ("source",), "process": ("source",), "extract": ("source",), "register": ("source",), "check": ("source",), "validate": ("--promote",), "link": (), "refine": (), "lint": (), "consolidate": (), "merge": ("primary", "secondary+"), "state": (), "health": (),
     "query": ("question", "--depth", "--top-k", "--no-expand", "--expand-only"), "pack": ("question", "--depth", "--top-k"), "agent-ingest": ("source",), "triage": (), "scaffold": ("title", "--type", "--source", "--force"),
     "draft": ("kind", "--topic", "--audience"), "quality": ("page?",), "coverage": ("source",), "find": ("--tag", "--confidence"), "provenance": ("page",), "rebuild": (), "migrate": (), "generate-instructions": (), "log": ("-n",),
     "save-answer": ("question", "--title", "--type", "--confidence"), "extract-prompt": ("source", "--type"), "recheck": ("action", "--confidence", "--page"),
@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
                 kind = int if a in ("--depth", "--top-k", "-n") else str
                 own.add_argument(a, type=kind, default={"--depth": 2, "--top-k": 5, "-n": 10, "--type": "concept", "--source": "triage:missing-link"}.get(a))
             else:
-                own.add_argument(a.rstrip("?"), nargs="?" if a.endswith("?") else None)
+                own.add_argument(a.rstrip("?+"), nargs=a[-1] if a[-1] in "?+" else None)
     return top
 
 
@@ -68,6 +68,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str | list
     if c == "consolidate":
         wiki.indexes()
         return merge.by_title(wiki.pages()).unionByName(merge.by_alias(wiki.pages()))
+    if c == "merge":
+        return wiki.merge(spark.createDataFrame([(s, args.primary) for s in args.secondary], "secondary string, primary string"))
     if c == "state":
         return state.compact(wiki.page_state())
     if c == "health":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stages import cut
 from . import pages as P
 
 
@@ -32,11 +33,16 @@ def joined(old: Column, new: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(new, none)))
 
 
-def promoted(drafts: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """pages with those drafts that have no errors, as concepts or entities by type; a draft's head and content take the place of an existing page's, but sources of both stay."""
+def promotable(drafts: DataFrame, issues: DataFrame) -> DataFrame:
+    """Those drafts of concepts and entities that have no errors, with the folder that they go to."""
     bad = issues.where("severity = 'ERROR'").select(F.col("page").alias("stem")).distinct()
     going = drafts.where("type IN ('concept', 'entity')").join(bad, "stem", "left_anti")
-    going = going.withColumn("dir", F.when(F.col("type") == "entity", "entities").otherwise("concepts"))
+    return going.withColumn("dir", F.when(F.col("type") == "entity", "entities").otherwise("concepts"))
+
+
+def promoted(drafts: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """pages with those drafts that have no errors, as concepts or entities by type; a draft's head and content take the place of an existing page's, but sources of both stay."""
+    going = promotable(drafts, issues)
     stays = pages.where("dir <> 'drafts'")
     old = stays.select(F.col("dir").alias("d_"), F.col("stem").alias("s_"), F.col("source_refs").alias("old_"))
     met = going.join(old, (going["dir"] == old["d_"]) & (going["stem"] == old["s_"]), "left")
@@ -71,6 +77,65 @@ def merged(pages: DataFrame, primary: str, secondary: str, today: str) -> DataFr
     return done.select(*pages.columns)
 
 
+def roots(mapping: DataFrame) -> DataFrame:
+    """secondary, primary, depth of a mapping's last ends: chains are followed, and of a cycle the page that is first by name is the end.
+
+    mapping: secondary, primary; of several primaries of one page the first by name counts. Steps are doubled, so that
+    a chain of n pages takes log2(n) joins.
+    """
+    given = mapping.where("secondary <> primary").groupBy("secondary").agg(F.min("primary").alias("primary"))
+    ends = given.select(F.col("primary").alias("secondary")).distinct().join(given, "secondary", "left_anti")
+    # to: the page so many steps on; least: the first by name of those passed; far: steps until the end of a chain.
+    now = given.select(F.col("secondary").alias("page"), F.col("primary").alias("to"), F.col("secondary").alias("least"), F.lit(1).cast("long").alias("far"))
+    now = cut(now.unionByName(ends.select(F.col("secondary").alias("page"), F.col("secondary").alias("to"), F.col("secondary").alias("least"), F.lit(0).cast("long").alias("far"))))
+    for _ in range(given.count().bit_length()):
+        ahead = now.select(F.col("page").alias("to"), F.col("to").alias("to_2"), F.col("least").alias("least_2"), F.col("far").alias("far_2"))
+        now = cut(now.join(ahead, "to").select("page", F.col("to_2").alias("to"), F.least("least", "least_2").alias("least"), (F.col("far") + F.col("far_2")).alias("far")))
+    # After as many steps as there are pages one is at the end, or within the cycle, and all of it lies ahead.
+    last = now.select(F.col("page").alias("to"), F.col("least").alias("first"), (F.col("far") == 0).alias("ends"))
+    found = now.join(last, "to").select(F.col("page").alias("secondary"), F.when(F.col("ends"), F.col("to")).otherwise(F.col("first")).alias("primary"), F.col("far").alias("depth"))
+    return found.where("secondary <> primary")
+
+
+def relinked(pages: DataFrame, leads: DataFrame) -> DataFrame:
+    """pages whose links to a page (leads: secondary) lead to another (primary); what they show stays. Each text is rebuilt once, whatever the number of its targets."""
+    each = pages.select("dir", "stem", F.explode(F.array_distinct(T.link_targets(F.col("content")))).alias("secondary")).join(leads.select("secondary", "primary"), "secondary")
+    news = each.groupBy("dir", "stem").agg(F.map_from_entries(F.collect_list(F.struct("secondary", "primary"))).alias("leads_"))
+
+    def rebuilt(places: Column) -> Column:
+        whole = lambda p: F.when(F.element_at("leads_", p["target"]).isNull(), p["link"]).otherwise(F.concat(F.lit("[["), F.element_at("leads_", p["target"]), F.substring(p["link"], F.char_length(p["target"]) + 3, F.char_length(p["link"]))))
+        return F.array_join(F.transform(places, lambda p: F.concat(p["part"], F.coalesce(whole(p), F.lit("")))), "")
+
+    parts = F.arrays_zip(F.split("content", T.LINK, -1).alias("part"), F.regexp_extract_all("content", F.lit(T.LINK), F.lit(0)).alias("link"), T.link_targets(F.col("content")).alias("target"))
+    met = pages.join(news, ["dir", "stem"], "left")
+    return met.withColumn("content", F.when(F.col("leads_").isNull(), F.col("content")).otherwise(rebuilt(parts))).select(*pages.columns)
+
+
+def merged_all(pages: DataFrame, mapping: DataFrame, today: str) -> DataFrame:
+    """pages after many merges at once (mapping: secondary, primary): secondary pages are gone, each chain's or cycle's end has their texts, nearest first and then by name, their aliases, names, sources and tags, and all links lead there. A primary that is no page keeps its secondaries."""
+    leads = cut(roots(mapping).join(pages.select(F.col("stem").alias("primary")).distinct(), "primary"))
+    rest = ("title", "content", "aliases", "source_refs", "tags")
+    gone = pages.join(leads, F.col("stem") == F.col("secondary")).select("primary", F.struct("depth", "stem", "dir", *rest).alias("page"))
+    gathered = gone.groupBy("primary").agg(F.array_sort(F.collect_list("page")).alias("others"))
+    stays = pages.join(leads.select(F.col("secondary").alias("stem")), "stem", "left_anti").join(gathered, F.col("stem") == F.col("primary"), "left")
+
+    def text(so_far: Column, page: Column) -> Column:
+        body = T.strip(F.coalesce(page["content"], F.lit("")))
+        return F.when(F.contains(so_far, body), so_far).otherwise(F.concat(F.regexp_replace(so_far, r"\s+$", ""), F.lit("\n\n## Merged from "), page["stem"], F.lit("\n\n"), body))
+
+    def all_of(name: str) -> Column:
+        return F.flatten(F.transform("others", lambda p: F.coalesce(p[name], F.array().cast("array<string>"))))
+
+    there = F.col("others").isNotNull()
+    names = F.flatten(F.transform("others", lambda p: F.concat(F.coalesce(p["aliases"], F.array().cast("array<string>")), F.filter(F.array(p["title"], p["stem"]), lambda x: x.isNotNull()))))
+    updates = {
+        "content": F.aggregate("others", F.coalesce("content", F.lit("")), text), "aliases": F.filter(joined(F.col("aliases"), names), lambda a: a != F.col("stem")),
+        "source_refs": joined(F.col("source_refs"), all_of("source_refs")), "tags": joined(F.col("tags"), all_of("tags")), "last_updated": F.lit(today),
+    }
+    done = stays.withColumns({c: F.when(there, v).otherwise(F.col(c)) for c, v in updates.items()}).select(*pages.columns)
+    return relinked(done, leads)
+
+
 def registered(incoming: DataFrame, manifest: DataFrame, at: str) -> DataFrame:
     """New manifest rows for sources (filename, text) whose content no row and no earlier source of the batch has."""
     keyed = incoming.select("filename", T.source_type(F.col("filename")).alias("source_type"), T.content_hash(F.col("text")).alias("content_hash"))

@@ -27,14 +27,10 @@ def stale_pages(sidecars: DataFrame, files: DataFrame) -> DataFrame:
     return stale_sources(sidecars, files).groupBy("stem").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 
-SOURCE_KIND = "array<struct<file:string,content_hash:string>>"
-CLAIM_KIND = "array<struct<id:string,text:string,sources:array<string>>>"
-
-
 def _first(items: Column, keys) -> Column:
     """The items whose keys no item before has."""
-    seen = F.transform(items, keys)
-    return F.filter(items, lambda x, i: F.array_position(seen, F.get(seen, i)) == i + 1)
+    both = F.transform(items, lambda x: F.struct(x.alias("item"), keys(x).alias("key")))
+    return T.held(both, lambda each: T.held(F.transform(each, lambda x: x["key"]), lambda seen: F.transform(F.filter(each, lambda x, i: F.array_position(seen, x["key"]) == i + 1), lambda x: x["item"])))
 
 
 def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -43,15 +39,15 @@ def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         incoming.select("stem", *(F.col(c).alias(f"{c}_b") for c in ("sources", "claims", "derived_concepts"))), "stem", "full"
     )
 
-    def joint(name: str, kind: str) -> Column:
-        return F.concat(*(F.coalesce(F.col(f"{name}_{s}"), F.array().cast(kind)) for s in "ab"))
+    def joint(name: str) -> Column:
+        return F.concat(*(F.coalesce(F.col(f"{name}_{s}"), F.array().cast(existing.schema[name].dataType)) for s in "ab"))
 
-    sources = F.filter(joint("sources", SOURCE_KIND), lambda s: F.coalesce(s["file"], F.lit("")) != "")
-    claims = F.filter(joint("claims", CLAIM_KIND), lambda c: F.coalesce(c["text"], F.lit("")) != "")
+    sources = F.filter(joint("sources"), lambda s: F.coalesce(s["file"], F.lit("")) != "")
+    claims = F.filter(joint("claims"), lambda c: F.coalesce(c["text"], F.lit("")) != "")
     claims = _first(claims, lambda c: F.struct(c["text"], F.array_sort(c["sources"])))
     numbered = F.transform(claims, lambda c, i: F.struct(F.concat(F.lit("claim-"), (i + 1).cast("string")).alias("id"), c["text"].alias("text"), c["sources"].alias("sources")))
     return both.select(
-        "stem", _first(sources, lambda s: F.struct(s["file"], F.coalesce(s["content_hash"], F.lit("")))).alias("sources"), numbered.alias("claims"), F.array_distinct(joint("derived_concepts", "array<string>")).alias("derived_concepts")
+        "stem", _first(sources, lambda s: F.struct(s["file"], F.coalesce(s["content_hash"], F.lit("")))).alias("sources"), numbered.alias("claims"), F.array_distinct(joint("derived_concepts")).alias("derived_concepts")
     )
 
 

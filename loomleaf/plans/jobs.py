@@ -124,22 +124,81 @@ class Wiki:
         self.log("register", "sources registered")
         return new
 
+    def _commit(self, files: DataFrame, gone: DataFrame) -> None:
+        """Writes files (path, raw) to the wiki's folder and removes others (path), as one step that can be taken up again.
+
+        All of it is first written to tables/pending. Once that is whole, what is left of it is done by whoever comes
+        next, should this job end between two files: each is replaced by the same content, or is gone already.
+        """
+        files.select("path", "raw").unionByName(gone.select("path", F.lit(None).cast("string").alias("raw"))).write.mode("overwrite").parquet(f"{self.root}/tables/pending")
+        self.recover()
+
+    def recover(self) -> bool:
+        """Ends a step that an earlier job began; whether there was one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/tables/pending")
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        whole = store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+        if whole:
+            plan = self.spark.read.schema("path string, raw string").parquet(f"{self.root}/tables/pending")
+            markdown._write(plan.where("raw IS NOT NULL"), f"{self.root}/wiki")
+            markdown.remove(plan.where("raw IS NULL"), f"{self.root}/wiki")
+            store.delete(path, True)
+            self.changed()
+        return whole
+
+    def _claims(self, pages: DataFrame) -> DataFrame:
+        """dir, stem, claims that pages hold now."""
+        found = pages.select("dir", "stem", P.claim_array(F.col("content"), F.col("confidence")).alias("found"))
+        return found.select("dir", "stem", F.transform("found", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"), c["sources"].alias("sources"))).alias("claims"))
+
+    def _joined_sidecars(self, done: DataFrame, incoming: DataFrame) -> DataFrame:
+        """The sidecars of pages (done), joined to others that come to them (incoming: dir, stem, from_dir, from_stem), with claims read anew."""
+        whole = self.whole_sidecars().where("NOT corrupt")
+        keys = incoming.select("dir", "stem", F.col("from_dir").alias("d"), F.col("from_stem").alias("s"))
+        came = whole.withColumnsRenamed({"dir": "d", "stem": "s"}).join(keys, ["d", "s"])
+        fields = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "d", F.coalesce(c, F.array().cast(whole.schema[c].dataType)).alias("x")))), lambda r: r["x"])).alias(c) for c in ("sources", "claims", "derived_concepts")]
+        key = F.concat_ws("/", "dir", "stem").alias("stem")
+        own = whole.join(done.select("dir", "stem"), ["dir", "stem"], "left_semi").select(key, "sources", "claims", "derived_concepts")
+        joint = provenance.merged(own, came.groupBy("dir", "stem").agg(*fields).select(key, "sources", "claims", "derived_concepts")).withColumnRenamed("stem", "key").drop("claims")
+        met = done.withColumn("key", F.concat_ws("/", "dir", "stem")).join(joint, "key").join(self._claims(done), ["dir", "stem"])
+        return met.select("dir", "stem", F.col("stem").alias("page"), T.content_hash(F.col("content")).alias("content_hash"), "sources", "claims", "derived_concepts")
+
     def promote(self) -> DataFrame:
-        """Writes drafts without errors to their folders, with their sidecars joined to those that were there and claims read anew."""
+        """Moves drafts without errors to their folders, with their sidecars joined to those that were there and claims read anew; drafts and their sidecars are gone then."""
+        self.recover()
         issues = cut(self.validation())
-        done = cut(merge.promoted(self.drafts(), self.pages(), issues).join(self.drafts().select("stem"), "stem", "left_semi").where("dir IN ('concepts', 'entities')"))
-        markdown.write_pages(done, f"{self.root}/wiki")
-        self.changed()
-        self.refresh_claims()
+        going = cut(merge.promotable(self.drafts(), issues))
+        done = cut(merge.promoted(self.drafts(), self.pages(), issues).join(going.select("dir", "stem"), ["dir", "stem"], "left_semi"))
+        sidecars = self._joined_sidecars(done, going.select("dir", "stem", F.lit("drafts").alias("from_dir"), F.col("stem").alias("from_stem")))
+        left = going.select(F.explode(F.array("path", F.concat("path", F.lit(".provenance.json")))).alias("path"))
+        self._commit(markdown.rendered(done).unionByName(markdown.sidecar_files(sidecars)), left)
         self.log("promote", "drafts promoted")
         return issues
 
+    def merge(self, mapping: DataFrame) -> DataFrame:
+        """Merges pages (mapping: secondary, primary; chains and cycles are resolved) with their sidecars, and rewrites the links of all others. Returns secondary, primary of what was merged."""
+        self.recover()
+        pages, own = self.pages(), P.wiki(self.pages())
+        leads = cut(merge.roots(mapping).join(own.select(F.col("stem").alias("primary")).distinct(), "primary"))
+        others = pages.join(own.select("dir", "stem"), ["dir", "stem"], "left_anti")
+        done = cut(merge.merged_all(own, mapping, self.today).unionByName(merge.relinked(others, leads)))
+        kept = done.select("dir", "stem", F.col("content").alias("now"), F.col("aliases").alias("names"))
+        was = pages.select("dir", "stem", "content", "aliases")
+        changed = kept.join(was, ["dir", "stem"]).where(~F.col("now").eqNullSafe(F.col("content")) | ~F.col("names").eqNullSafe(F.col("aliases"))).select("dir", "stem")
+        new = cut(done.join(changed, ["dir", "stem"], "left_semi").withColumn("content_hash", T.content_hash(F.col("content"))))
+        gone = cut(pages.join(done.select("dir", "stem"), ["dir", "stem"], "left_anti").select("dir", "stem", "path"))
+        met = cut(leads.join(gone.select(F.col("stem").alias("secondary"), F.col("dir").alias("from_dir")), "secondary"))
+        incoming = met.join(new.select("dir", F.col("stem").alias("primary")), "primary").select("dir", F.col("primary").alias("stem"), "from_dir", F.col("secondary").alias("from_stem"))
+        sidecars = self._joined_sidecars(new, incoming)
+        left = gone.select(F.explode(F.array("path", F.concat("path", F.lit(".provenance.json")))).alias("path"))
+        self._commit(markdown.rendered(new).unionByName(markdown.sidecar_files(sidecars)), left)
+        self.log("merge", "pages merged")
+        return met.select("secondary", "primary")
+
     def refresh_claims(self) -> None:
         """Sidecars get the claims that their pages hold now."""
-        own = P.wiki(self.pages()).select("dir", "stem", P.claim_array(F.col("content"), F.col("confidence")).alias("found"))
-        claims = F.transform("found", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"), c["sources"].alias("sources")))
-        whole = self.whole_sidecars().where("NOT corrupt").join(own.select("dir", "stem", claims.alias("new")), "stem")
-        markdown.write_sidecars(whole.select("dir", "stem", "page", "content_hash", "sources", F.col("new").alias("claims"), "derived_concepts"), f"{self.root}/wiki")
+        whole = self.whole_sidecars().where("NOT corrupt").drop("claims").join(self._claims(P.wiki(self.pages())), ["dir", "stem"])
+        markdown.write_sidecars(whole.select("dir", "stem", "page", "content_hash", "sources", "claims", "derived_concepts"), f"{self.root}/wiki")
         self.changed()
 
     def migrate(self, created: str) -> None:

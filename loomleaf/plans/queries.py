@@ -173,6 +173,14 @@ def merge_pages(spark, d):
     return done.select("stem", F.md5("content").alias("content_md5"), F.array_join("aliases", "|").alias("aliases"), F.array_join("source_refs", "|").alias("source_refs"), F.array_join("tags", "|").alias("tags"), "last_updated")
 
 
+def merge_roots(spark, d):
+    """Chains and cycles of names: a third of them lead to a third of their number, the others to each other."""
+    k = F.col("doc_id")
+    to = F.when(k % 3 == 0, F.floor(k / 3)).when(k % 3 == 1, k + 1).otherwise(k - 1)
+    mapping = _docs(spark, d).where("doc_id > 0").select(F.concat(F.lit("Doc "), k.cast("string")).alias("secondary"), F.concat(F.lit("Doc "), to.cast("long").cast("string")).alias("primary"))
+    return merge.roots(mapping).select("secondary", "primary")
+
+
 def page_reader(spark, d):
     """Pages written out with their heads, and read again by the parser of heads."""
     files = markdown.rendered(_pages(spark, d))
@@ -311,6 +319,7 @@ QUERIES = {
     "dup_title": lambda s, d: merge.by_title(_pages(s, d)),
     "dup_alias": lambda s, d: merge.by_alias(_pages(s, d)),
     "promote_upsert": promote_upsert,
+    "merge_roots": merge_roots,
     "merge_pages": merge_pages,
     "register_dedup": lambda s, d: merge.register(_docs(s, d)),
     "registry_new": registry_new,

@@ -155,6 +155,8 @@ _SQL = {
     "context_seeds": "SELECT ord, stem, n_chars FROM (SELECT *, sum(n_chars) OVER (ORDER BY ord) AS total FROM (SELECT ord, s.stem, length('## [' || s.stem || '] (type: ' || coalesce(type, '?') || ', confidence: ' || confidence || ')' || content || repeat(chr(10), 5) || '---') AS n_chars FROM seeds s JOIN p USING (stem))) WHERE total <= 50000",
     "search_sources": f"SELECT doc_id, score FROM (SELECT doc_id, ({_HITS})::BIGINT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5",
     "snippets": f"SELECT doc_id, n, md5('L' || i || ': ' || {_strip('line')}) AS snippet_md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) u(i)) WHERE contains(lower(line), 'the') OR contains(lower(line), 'thing') OR contains(lower(line), 'source') OR contains(lower(line), 'licensed')) WHERE n <= 8",
+    "merge_roots": """SELECT secondary, primary FROM (SELECT 'Doc ' || k AS secondary, CASE WHEN at = 0 THEN 'Doc 0' ELSE least('Doc ' || (at - (at % 3 = 2)::INT), 'Doc ' || (at + (at % 3 = 1)::INT)) END AS primary
+   FROM (WITH RECURSIVE r AS (SELECT doc_id AS k, doc_id AS at FROM documents WHERE doc_id > 0 UNION ALL SELECT k, at // 3 FROM r WHERE at % 3 = 0 AND at > 0) SELECT k, min(at) AS at FROM r GROUP BY k)) WHERE secondary <> primary""",
     "source_candidates": f"""SELECT source, rank, stem, score FROM (
    SELECT source, stem, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, stem) AS rank FROM (
     SELECT source, stem, sum(worth)::BIGINT AS score FROM (SELECT item_id::VARCHAR AS source, unnest({TOKENS.format('text')}) AS word FROM benchmark) b

@@ -91,7 +91,7 @@ def _files(spark: SparkSession, folder: str, glob: str, recursive: bool = True)
             raise
         return spark.createDataFrame([], "path string, raw string")
     # The folder may be given without a scheme: its name ends where the rest begins.
-    whole = F.replace(F.col("_metadata.file_path"), F.lit("%20"), F.lit(" "))
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     base = folder.rstrip("/").split("://")[-1]
     return found.select(F.ltrim(F.substring_index(whole, f"{base}/", -1), F.lit("/")).alias("path"), F.col("value").alias("raw"))
 
@@ -105,12 +105,12 @@ def read_pages(spark: SparkSession, folder: str, dirs: tuple[str, ...] | None =
 
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """stem, corrupt and the fields of all sidecars; one that is no JSON object is corrupt."""
+    """dir, stem, corrupt and the fields of all sidecars; one that is no JSON object is corrupt."""
     found = _files(spark, folder, "*.md.provenance.json")
     stem = F.regexp_replace(T.base_name(F.col("path")), r"\.md\.provenance\.json$", "")
-    held = found.select(stem.alias("stem"), "raw", F.from_json("raw", SIDECAR).alias("s"))
+    held = found.select(F.regexp_extract("path", r"(?:^|/)([^/]+)/[^/]+$", 1).alias("dir"), stem.alias("stem"), "raw", F.from_json("raw", SIDECAR).alias("s"))
     corrupt = ~T.strip(F.col("raw")).startswith("{") | F.schema_of_variant(F.try_parse_json("raw")).isNull() | F.col("s.page").isNull() | F.col("s.content_hash").isNull()
-    return held.select("stem", corrupt.alias("corrupt"), "s.*")
+    return held.select("dir", "stem", corrupt.alias("corrupt"), "s.*")
 
 
 def flat(sidecars: DataFrame) -> DataFrame:
@@ -164,6 +164,28 @@ def _write(rows: DataFrame, folder: str) -> None:
     rows.select("path", "raw").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
+def remove(paths: DataFrame, folder: str) -> None:
+    """paths: path. Files that are gone already don't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import contextlib
+        import os
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(os.path.join(folder, path))
+            yield batch.select(["path"])
+
+    paths.select("path").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def sidecar_files(sidecars: DataFrame) -> DataFrame:
+    """path and raw of sidecars: dir, stem and the fields of a sidecar."""
+    body = F.to_json(F.struct(*(c for c in ("page", "content_hash", "sources", "claims", "derived_concepts") if c in sidecars.columns)), {"ignoreNullFields": "false"})
+    return sidecars.select(F.concat("dir", F.lit("/"), "stem", F.lit(".md.provenance.json")).alias("path"), body.alias("raw"))
+
+
 def rendered(pages: DataFrame) -> DataFrame:
     """path and raw, the text with its head, of pages."""
     fields = [c for c in (*SCALARS, *LISTS) if c in pages.columns]
@@ -182,8 +204,7 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 
 def write_sidecars(sidecars: DataFrame, folder: str) -> None:
     """sidecars: dir, stem and the fields of a sidecar."""
-    body = F.to_json(F.struct(*(c for c in ("page", "content_hash", "sources", "claims", "derived_concepts") if c in sidecars.columns)), {"ignoreNullFields": "false"})
-    _write(sidecars.select(F.concat("dir", F.lit("/"), "stem", F.lit(".md.provenance.json")).alias("path"), body.alias("raw")), folder)
+    _write(sidecar_files(sidecars), folder)
 
 
 def save(table: DataFrame, path: str) -> None:
