@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as T
 from ..operators import candidates, graph, merge, provenance, quality, retrieval, rules, state
 from ..operators import pages as P
@@ -173,12 +174,22 @@ def merge_pages(spark, d):
     return done.select("stem", F.md5("content").alias("content_md5"), F.array_join("aliases", "|").alias("aliases"), F.array_join("source_refs", "|").alias("source_refs"), F.array_join("tags", "|").alias("tags"), "last_updated")
 
 
+def _lateral(table, columns):
+    """A table function in SQL over the pages."""
+
+    def query(spark, d):
+        tables.register(spark)
+        return spark.sql(f"SELECT stem, {columns} FROM {{pages}}, LATERAL {table}(content)", pages=_pages(spark, d))
+
+    return query
+
+
 def merge_roots(spark, d):
     """Chains and cycles of names: a third of them lead to a third of their number, the others to each other."""
     k = F.col("doc_id")
     to = F.when(k % 3 == 0, F.floor(k / 3)).when(k % 3 == 1, k + 1).otherwise(k - 1)
     mapping = _docs(spark, d).where("doc_id > 0").select(F.concat(F.lit("Doc "), k.cast("string")).alias("secondary"), F.concat(F.lit("Doc "), to.cast("long").cast("string")).alias("primary"))
-    return merge.roots(mapping).select("secondary", "primary")
+    return merge.roots(mapping).select(F.col("secondary").alias("page"), F.col("primary").alias("leads_to"))
 
 
 def page_reader(spark, d):
@@ -319,6 +330,9 @@ QUERIES = {
     "dup_title": lambda s, d: merge.by_title(_pages(s, d)),
     "dup_alias": lambda s, d: merge.by_alias(_pages(s, d)),
     "promote_upsert": promote_upsert,
+    "sql_sections": _lateral("wiki_sections", "bigint(ord) AS ord, heading, md5(body) AS body_md5"),
+    "sql_links": _lateral("wiki_links", "bigint(pos) AS pos, target, rel"),
+    "sql_claims": _lateral("wiki_claims", "bigint(claim_no) AS claim_no, md5(text) AS text_md5, section, array_join(sources, '|') AS sources"),
     "merge_roots": merge_roots,
     "merge_pages": merge_pages,
     "register_dedup": lambda s, d: merge.register(_docs(s, d)),

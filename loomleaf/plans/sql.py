@@ -155,8 +155,11 @@ _SQL = {
     "context_seeds": "SELECT ord, stem, n_chars FROM (SELECT *, sum(n_chars) OVER (ORDER BY ord) AS total FROM (SELECT ord, s.stem, length('## [' || s.stem || '] (type: ' || coalesce(type, '?') || ', confidence: ' || confidence || ')' || content || repeat(chr(10), 5) || '---') AS n_chars FROM seeds s JOIN p USING (stem))) WHERE total <= 50000",
     "search_sources": f"SELECT doc_id, score FROM (SELECT doc_id, ({_HITS})::BIGINT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5",
     "snippets": f"SELECT doc_id, n, md5('L' || i || ': ' || {_strip('line')}) AS snippet_md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) u(i)) WHERE contains(lower(line), 'the') OR contains(lower(line), 'thing') OR contains(lower(line), 'source') OR contains(lower(line), 'licensed')) WHERE n <= 8",
-    "merge_roots": """SELECT secondary, primary FROM (SELECT 'Doc ' || k AS secondary, CASE WHEN at = 0 THEN 'Doc 0' ELSE least('Doc ' || (at - (at % 3 = 2)::INT), 'Doc ' || (at + (at % 3 = 1)::INT)) END AS primary
-   FROM (WITH RECURSIVE r AS (SELECT doc_id AS k, doc_id AS at FROM documents WHERE doc_id > 0 UNION ALL SELECT k, at // 3 FROM r WHERE at % 3 = 0 AND at > 0) SELECT k, min(at) AS at FROM r GROUP BY k)) WHERE secondary <> primary""",
+    "sql_sections": "SELECT stem, ord, heading, md5(body) AS body_md5 FROM sec",
+    "sql_links": "SELECT source AS stem, pos::BIGINT AS pos, target, rel FROM rawlinks",
+    "sql_claims": "SELECT stem, claim_no, md5(text) AS text_md5, section, array_to_string(sources, '|') AS sources FROM cl",
+    "merge_roots": """SELECT page, leads_to FROM (SELECT 'Doc ' || k AS page, CASE WHEN x = 0 THEN 'Doc 0' WHEN x % 3 = 1 AND x = (SELECT max(doc_id) FROM documents) THEN 'Doc ' || (x + 1) ELSE least('Doc ' || (x - (x % 3 = 2)::INT), 'Doc ' || (x + (x % 3 = 1)::INT)) END AS leads_to
+   FROM (WITH RECURSIVE r AS (SELECT doc_id AS k, doc_id AS x FROM documents WHERE doc_id > 0 UNION ALL SELECT k, x // 3 FROM r WHERE x % 3 = 0 AND x > 0) SELECT k, min(x) AS x FROM r GROUP BY k)) WHERE page <> leads_to""",
     "source_candidates": f"""SELECT source, rank, stem, score FROM (
    SELECT source, stem, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, stem) AS rank FROM (
     SELECT source, stem, sum(worth)::BIGINT AS score FROM (SELECT item_id::VARCHAR AS source, unnest({TOKENS.format('text')}) AS word FROM benchmark) b
@@ -223,7 +226,6 @@ _SQL = {
     "recheck_run": "SELECT page, CASE WHEN next_check_after > TIMESTAMP '2025-01-20 00:00:00' THEN 'skipped' WHEN page % 7 = 3 THEN 'stale' ELSE 'clean' END AS bucket FROM sch",
     "recheck_recorded": f"SELECT page, confidence, total_checks + CASE WHEN page % 7 = 3 THEN 1 ELSE 0 END AS total_checks, stale_count + CASE WHEN page % 7 = 3 AND page % 2 = 0 THEN 1 ELSE 0 END AS stale_count, clean_count + CASE WHEN page % 7 = 3 AND page % 2 = 1 THEN 1 ELSE 0 END AS clean_count, CASE WHEN page % 7 <> 3 THEN interval_h WHEN page % 2 = 0 THEN {_LEAST} ELSE least(interval_h * 1.5::DOUBLE, {_MOST}) END AS interval_h FROM sch",
     "recheck_summary": "SELECT confidence, count(*) AS pages, sum(total_checks)::BIGINT AS checks, sum(stale_count)::BIGINT AS stale FROM sch GROUP BY confidence",
-    "stream_recheck": "SELECT page, total_checks, stale_count, total_checks - stale_count AS clean_count, least(24.0::DOUBLE * pow(1.5::DOUBLE, (total_checks - since)::DOUBLE), 168.0::DOUBLE) AS interval_h FROM g",
 }
 CTE["t1"] = _SQL["traverse_depth1"]
 _ASK = "which document 17 domain en status"

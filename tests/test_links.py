@@ -33,6 +33,23 @@ def test_relations_as_plain_loops(spark):
     assert found(spark, texts) == [plain(t) for t in texts]
 
 
+def test_table_functions_as_column_forms(spark):
+    """In SQL, over texts of links, headings and claims, and over null and empty ones."""
+    from loomleaf.functions import tables
+    from loomleaf.operators import pages as P
+
+    rng = random.Random(7)
+    pieces = ["[[A]]", "[[B c|d]]", "[[e cites]]", "[[Q]]:extends", " ", " ", "\n", "\n## Head\n", "\n## Sources\n", "\n##  x  \n", "cites", "cites ", "w" * 50, "- A claim of some length ", "**bold** words here ", "[source: a.md, §One]", "[source: b.md,§ Two ]", "\n[source: c.md, §1] more of it\n", ".", "\t"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    pages = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "i int, content string").withColumn("confidence", F.lit(None).cast("string"))
+    tables.register(spark)
+    ask = lambda table, what: sorted(tuple(r) for r in spark.sql(f"SELECT i, {what} FROM {{pages}}, LATERAL {table}(content)", pages=pages).collect())
+    assert ask("wiki_sections", "ord, heading, body") == sorted(tuple(r) for r in pages.select("i", F.posexplode(T.sections(F.col("content"))).alias("ord", "s")).select("i", "ord", "s.heading", "s.body").collect())
+    assert ask("wiki_links", "pos, target, rel") == sorted(tuple(r) for r in pages.select("i", F.posexplode(T.relations(F.col("content"))).alias("pos", "r")).select("i", "pos", "r.target", "r.rel").collect())
+    want = pages.select("i", F.posexplode(P.claim_array(F.col("content"), F.col("confidence"))).alias("n", "c")).select("i", F.col("n") + 1, "c.text", "c.section", "c.sources", "c.source_refs").collect()
+    assert ask("wiki_claims", "claim_no, text, section, sources, refs") == sorted(tuple(r) for r in want) and len(want) > 100
+
+
 def test_ten_thousand_links_on_a_page(spark):
     text = "a body of some words. " * 2000 + "\n".join(f"- word cites [[Page {i}]] and [[Other {i}]]:extends" for i in range(5000))
     found(spark, ["warm [[up]]"])
