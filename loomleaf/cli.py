@@ -14,13 +14,13 @@ from .operators import graph, merge, quality, retrieval, state
 from .operators import pages as P
 from .plans import jobs
 from .sources import markdown
-from .streaming import recheck
+from .streaming import ingest, recheck
 
 COMMANDS = {
-    "ingest": ("source",), "process": ("source",), "extract": ("source",), "register": ("source",), "check": ("source",), "validate": ("--promote",), "link": (), "refine": (), "lint": (), "consolidate": (), "merge": ("primary", "secondary+"), "state": (), "health": (),
+    "ingest": ("source",), "ingest-folder": ("folder",), "process": ("source",), "extract": ("source",), "register": ("source",), "check": ("source",), "validate": ("--promote",), "link": (), "refine": (), "lint": (), "consolidate": (), "merge": ("primary", "secondary+"), "state": (), "health": (),
     "query": ("question", "--depth", "--top-k", "--no-expand", "--expand-only"), "pack": ("question", "--depth", "--top-k"), "agent-ingest": ("source",), "triage": (), "scaffold": ("title", "--type", "--source", "--force"),
     "draft": ("kind", "--topic", "--audience"), "quality": ("page?",), "coverage": ("source",), "find": ("--tag", "--confidence"), "provenance": ("page",), "rebuild": (), "migrate": (), "generate-instructions": (), "log": ("-n",),
-    "save-answer": ("question", "--title", "--type", "--confidence"), "extract-prompt": ("source", "--type"), "recheck": ("action", "--confidence", "--page"),
+    "save-answer": ("question?", "--title", "--type", "--confidence"), "extract-prompt": ("source", "--type"), "recheck": ("action", "--confidence", "--page"),
 }
 
 
@@ -55,6 +55,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str | list
     if c in ("ingest", "process"):
         wiki.register(_source(spark, args.source))
         return wiki.rebuild()
+    if c == "ingest-folder":
+        ingest.ingest_folder(wiki, args.folder, f"{args.root}/tables/ingest")
+        return wiki.manifest().select("filename", "source_type", "content_hash")
     if c == "check":
         return merge.ingested(_source(spark, args.source), wiki.manifest())
     if c == "validate":
@@ -62,7 +65,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str | list
     if c == "link":
         return graph.missing_reverse(wiki.pages())
     if c == "refine":
-        return state.tasks(wiki.pages(), wiki.sidecars(), wiki.files(), wiki.schedule(), now).orderBy("rank", "task_type", "page")
+        return wiki.refine().orderBy("rank", "task_type", "page")
     if c == "lint":
         return wiki.issues().orderBy("check_ord", "page")
     if c == "consolidate":
@@ -75,7 +78,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str | list
     if c == "health":
         return state.health(wiki.issues()).withColumn("status", state.status(F.col("errors"), F.col("warnings")))
     if c == "query":
-        return retrieval.variants(args.question) if args.expand_only else wiki.query(args.question, args.depth, args.top_k, not args.no_expand)
+        return retrieval.variants(args.question) if args.expand_only else wiki.ask(args.question, args.depth, args.top_k, not args.no_expand)
     if c == "pack":
         return wiki.pack(args.question, args.depth, args.top_k)["pages"].orderBy("reading")
     if c == "agent-ingest":
@@ -110,10 +113,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str | list
     if c == "log":
         return markdown.last_log(spark, f"{args.root}/tables/log", args.n)
     if c == "save-answer":
-        held = wiki.query(args.question).join(wiki.pages().select("stem", "source_refs"), "stem")
-        made = state.saved_answer(held, args.question, args.title or args.question, wiki.today, args.type, args.confidence or "LOW")
-        wiki.draft(made)
-        return made
+        return wiki.save_answer(args.question, args.title, args.type, args.confidence or "LOW")
     if c == "extract-prompt":
         kind = spark.range(1).select(T.source_type(F.lit(Path(args.source).name))).first()[0]
         return jobs.extraction_prompt(wiki.rules, Path(args.source).name, kind, args.type)

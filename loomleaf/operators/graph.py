@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import ranks
 from ..plans.stages import cut
 from . import pages as P
 
@@ -47,11 +48,25 @@ def untyped(pages: DataFrame) -> DataFrame:
     return found.join(names, "key", "left").select("source", F.coalesce("stem", "target").alias("target"))
 
 
-def inlinks(pages: DataFrame) -> DataFrame:
-    """stem, inlinks (count), sources: the distinct pages that link to each page, sorted."""
+#: Links to a list of neighbours.
+NEIGHBOURS = 1_000
+
+
+def linked(pages: DataFrame) -> DataFrame:
+    """stem, source: a row for each page that links to another, repeats kept."""
     names = P.wiki(pages).select("stem", F.lower("stem").alias("key"))
     found = P.wiki(pages).select(F.col("stem").alias("source"), F.explode(F.array_distinct(T.link_targets(F.col("content")))).alias("target"))
-    return found.withColumn("key", F.lower("target")).join(names, "key").groupBy("stem").agg(F.countDistinct("source").alias("inlinks"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return found.withColumn("key", F.lower("target")).join(names, "key").select("stem", "source")
+
+
+def inlink_chunks(pages: DataFrame, size: int = NEIGHBOURS) -> DataFrame:
+    """stem, chunk, n, sources: the distinct pages that link to each page, sorted, in lists of `size` at most, so that no task holds all neighbours of a hub."""
+    return ranks.chunks(linked(pages), "stem", "source", size).withColumnRenamed("values", "sources")
+
+
+def inlinks(pages: DataFrame) -> DataFrame:
+    """stem, inlinks (count), sources: the distinct pages that link to each page, sorted. For hubs see inlink_chunks."""
+    return linked(pages).groupBy("stem").agg(F.countDistinct("source").alias("inlinks"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 def missing_reverse(pages: DataFrame, all_edges: DataFrame | None = None) -> DataFrame:
@@ -114,5 +129,5 @@ def reached(seeds: DataFrame, all_edges: DataFrame, names: DataFrame, depth: int
     """rank, stem, score (two decimals), path of the existing pages (names: stem) that a traversal reaches, best first; without edges the seeds."""
     found = traverse(seeds, all_edges, depth)
     best = found.join(names.select("stem").distinct(), F.col("node") == F.col("stem"))
-    order = Window.orderBy(F.desc("score"), F.size("ord"), "ord", "stem")
-    return best.select(F.row_number().over(order).cast("long").alias("rank"), "stem", F.bround("score", 2).alias("score"), "path")
+    placed = ranks.numbered(best.withColumn("length", F.size("ord")), "rank", [F.desc("score"), "length", "ord", "stem"])
+    return placed.select("rank", "stem", F.bround("score", 2).alias("score"), "path")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import ranks
 from ..plans.stages import cut
 from . import pages as P
 
@@ -163,8 +164,7 @@ def index_by(pages: DataFrame, key: Column) -> DataFrame:
 def listed(pages: DataFrame, key: Column) -> DataFrame:
     """key, ord, line: the lines of an index page, sorted."""
     each = P.by_stem(pages).select("stem", key.alias("key"))
-    order = F.row_number().over(Window.partitionBy("key").orderBy("stem"))
-    return each.select("key", order.cast("long").alias("ord"), F.concat(F.lit("- [["), "stem", F.lit("]]")).alias("line"))
+    return ranks.numbered(each, "ord", ["stem"], ("key",)).select("key", "ord", F.concat(F.lit("- [["), "stem", F.lit("]]")).alias("line"))
 
 
 def types() -> Column:
@@ -180,9 +180,8 @@ def timeline(pages: DataFrame, least: int = 5) -> DataFrame:
     """month, ord, stem, title, created: pages by date of creation, if there are `least` of them in all."""
     dated = P.wiki(pages).where("created IS NOT NULL")
     total = dated.agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("month").orderBy("created", "stem", "title")
     found = dated.withColumn("month", F.substring("created", 1, 7)).join(F.broadcast(total), F.col("total") >= least)
-    return found.select("month", F.row_number().over(order).cast("long").alias("ord"), "stem", F.coalesce("title", "stem").alias("title"), "created")
+    return ranks.numbered(found, "ord", ["created", "stem", "title"], ("month",)).select("month", "ord", "stem", F.coalesce("title", "stem").alias("title"), "created")
 
 
 def recently_updated(pages: DataFrame, today: str, days: int = 7) -> DataFrame:

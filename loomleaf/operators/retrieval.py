@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import ranks
 from ..plans.stages import cut
 from . import graph
 from . import pages as P
@@ -127,14 +128,14 @@ def pack_pages(pages: DataFrame, reached: DataFrame, stale: DataFrame, question:
     met = reached.join(own, "stem").join(flags, "stem", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
     args = [F.col(c) for c in ("title", "content", "score", "path", "stem", "confidence", "stale")]
     ranked = met.withColumn("rank_score", pack_score(question, *args))
-    order = F.row_number().over(Window.orderBy(F.desc("rank_score"), "rank"))
     heads = F.transform(T.sections(F.col("content")), lambda s: s["heading"])
-    return ranked.select(order.cast("long").alias("reading"), "stem", "title", "type", "confidence", "stale", "score", "rank_score", "path", heads.alias("headings"))
+    placed = ranks.numbered(ranked.withColumn("headings", heads).drop("content"), "reading", [F.desc("rank_score"), "rank"])
+    return placed.select("reading", "stem", "title", "type", "confidence", "stale", "score", "rank_score", "path", "headings")
 
 
 def pack_claims(claims: DataFrame, packed: DataFrame, each: int = 5, most: int = 20) -> DataFrame:
     """ord, stem and the claims of a pack's pages in reading order: the first of each page, and of these the first in all."""
-    own = claims.where(F.col("claim_no") <= each).join(F.broadcast(packed.select("stem", "reading")), "stem")
+    own = claims.where(F.col("claim_no") <= each).join(packed.select("stem", "reading"), "stem")
     first = own.orderBy("reading", "claim_no").limit(most)
     return first.select(F.row_number().over(Window.orderBy("reading", "claim_no")).cast("long").alias("ord"), *claims.columns)
 
@@ -159,7 +160,7 @@ def pack(pages: DataFrame, sidecars_stale: DataFrame, issues: DataFrame, questio
     found = graph.reached(seeds(pages, [question], top), all_edges, P.wiki(pages), depth)
     packed = cut(pack_pages(pages, found, sidecars_stale, question))
     # Only the pack's pages are looked at for claims.
-    own = P.wiki(pages).join(F.broadcast(packed.select("stem")), "stem", "left_semi")
+    own = P.wiki(pages).join(packed.select("stem"), "stem", "left_semi")
     claims = cut(pack_claims(P.claims(own), packed))
     related = cut(pack_relationships(all_edges, packed, pages))
     broken = issues.where("code IN ('BROKEN_LINK', 'BROKEN_LINKS')").select(F.regexp_extract("message", r"\[\[([^\]]+)\]\]", 1).alias("target"))

@@ -13,8 +13,12 @@ from . import pages as P
 from . import provenance
 
 
-def page_state(pages: DataFrame, sidecars: DataFrame, files: DataFrame) -> DataFrame:
-    """stem, type, confidence, tags, outlinks, inlinks, last_updated, stale, thin, contradictory of concepts and entities."""
+def page_state(pages: DataFrame, sidecars: DataFrame, files: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+    """stem, type, confidence, tags, outlinks, inlinks, last_updated, stale, thin, contradictory of concepts and entities.
+
+    neighbours (graph.inlink_chunks): with it inlinks are the first list of each page, and n_inlinks tells how many
+    there are in all, so that a hub's row stays small; its further lists are in that table.
+    """
     own = P.wiki(pages)
     stale = provenance.stale_sources(sidecars, files).select("stem").distinct().withColumn("stale", F.lit(True))
     by_dir = F.when(F.col("dir") == "entities", "entitie").otherwise("concept")
@@ -22,7 +26,10 @@ def page_state(pages: DataFrame, sidecars: DataFrame, files: DataFrame) -> DataF
         "stem", F.coalesce("type", by_dir).alias("type"), F.coalesce("confidence", F.lit("")).alias("confidence"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), T.link_targets(F.col("content")).alias("outlinks"),
         F.coalesce("last_updated", "created", F.lit("")).alias("last_updated"), (F.regexp_count("content", F.lit(r"(?m)^##\s+")) < 2).alias("thin"), F.col("content").rlike(r"(?i)>\s*\[!warning\]\s*CONTRADICTION").alias("contradictory"),
     )
-    back = graph.inlinks(pages).select("stem", F.col("sources").alias("inlinks"))
+    if neighbours is None:
+        back = graph.inlinks(pages).select("stem", F.col("sources").alias("inlinks"))
+    else:
+        back = neighbours.groupBy("stem").agg(F.sum("n").alias("n_inlinks"), F.max(F.when(F.col("chunk") == 0, F.col("sources"))).alias("inlinks"))
     found = state.join(back, "stem", "left").join(stale, "stem", "left")
     return found.withColumns({"inlinks": F.coalesce("inlinks", F.array().cast("array<string>")), "stale": F.coalesce("stale", F.lit(False))})
 

@@ -16,6 +16,8 @@ from .stages import cut
 
 SCHEDULE = "page string, confidence string, total_checks long, stale_count long, clean_count long, interval_h double, last_checked_at timestamp_ntz, next_check_after timestamp_ntz"
 
+LAST_QUERY = "question string, ord long, stem string, section string"
+
 
 class Wiki:
     """A folder with wiki/ (pages and sidecars), sources/ and tables/ (what jobs write, as Parquet or JSON)."""
@@ -117,7 +119,7 @@ class Wiki:
     def register(self, incoming: DataFrame) -> DataFrame:
         """Sources (filename, text) whose content is new join the manifest and the folder of their type."""
         new = cut(merge.registered(incoming, self.manifest(), self.now))
-        texts = incoming.join(new.select("filename", "source_type"), "filename")
+        texts = incoming.withColumn("content_hash", T.content_hash(F.col("text"))).join(new.select("filename", "source_type", "content_hash"), ["filename", "content_hash"]).dropDuplicates(["filename", "content_hash"])
         markdown._write(texts.select(F.concat("source_type", F.lit("/"), "filename").alias("path"), F.col("text").alias("raw")), f"{self.root}/sources")
         new.withColumns({c: F.array().cast("array<string>") for c in ("concepts_generated", "entities_generated")}).write.mode("append").json(f"{self.root}/tables/manifest")
         self.changed()
@@ -237,7 +239,9 @@ class Wiki:
         out = f"{self.root}/tables"
         markdown.save(graph.nodes(self.pages()), f"{out}/nodes")
         markdown.save(graph.edges(self.pages()), f"{out}/edges")
-        full = cut(self.page_state())
+        neighbours = cut(graph.inlink_chunks(self.pages()))
+        markdown.save(neighbours, f"{out}/inlinks")
+        full = cut(state.page_state(self.pages(), self.sidecars(), self.files(), neighbours))
         markdown.save(full, f"{out}/state_full")
         markdown.save(state.compact(full), f"{out}/state")
         markdown.save(self.issues(), f"{out}/issues")
@@ -250,6 +254,40 @@ class Wiki:
         markdown.write_pages(rows.withColumn("path", F.concat("dir", F.lit("/"), "stem", F.lit(".md"))), f"{self.root}/wiki")
         self.changed()
 
+    def ask(self, question: str, depth: int = 2, top: int = 5, expand: bool = True) -> DataFrame:
+        """The context of a question, kept as the last query for commands to come."""
+        found = cut(self.query(question, depth, top, expand))
+        kept = found if "section" in found.columns else found.limit(0).select(F.lit(0).cast("long").alias("ord"), F.lit("").alias("stem"), F.lit("").alias("section"))
+        asked = self.spark.createDataFrame([(question,)], "question string")
+        markdown.save(asked.join(kept.select("ord", "stem", "section"), F.lit(True), "left"), f"{self.root}/tables/last_query")
+        return found
+
+    def last_query(self) -> DataFrame:
+        """question, ord, stem, section of the last query; empty if there was none."""
+        return markdown.read_json(self.spark, f"{self.root}/tables/last_query", LAST_QUERY)
+
+    def save_answer(self, question: str | None, title: str | None, kind: str = "concept", confidence: str = "LOW") -> DataFrame:
+        """A draft of the last query's context, or of a question asked now."""
+        if question is not None:
+            self.ask(question)
+        held = cut(self.last_query())
+        asked = held.select("question").first()
+        if asked is None:
+            raise ValueError("nothing was asked so far")
+        context = held.where("stem IS NOT NULL").join(self.pages().select("stem", "source_refs"), "stem")
+        made = cut(state.saved_answer(context, asked.question, title or asked.question, self.today, kind, confidence))
+        self.draft(made)
+        return made
+
+    def refine(self) -> DataFrame:
+        """What there is to do. Stale pages among it are recorded as checked and stale, and those whose time had come as clean."""
+        plan = cut(self.schedule())
+        tasks = cut(state.tasks(self.pages(), self.sidecars(), self.files(), plan, self.now))
+        results = tasks.where("task_type IN ('stale', 'scheduled_recheck')").groupBy("page").agg(F.max(F.col("task_type") == "stale").alias("stale"))
+        markdown.save(recheck.recorded(plan, cut(results), self.now), f"{self.root}/tables/schedule")
+        self.log("refine", "tasks listed, checks recorded")
+        return tasks
+
     def recheck(self, only: str | None = None) -> DataFrame:
         """page, bucket of one recheck over all pages, or one; what was due is recorded in the schedule."""
         chosen = P.wiki(self.pages()) if only is None else P.wiki(self.pages()).where(F.col("stem") == only)

@@ -277,6 +277,7 @@ QUERIES = {
     "graph_nodes": lambda s, d: graph.nodes(_pages(s, d)),
     "graph_counts": lambda s, d: graph.edges(_pages(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")),
     "untyped_graph": lambda s, d: graph.untyped(_pages(s, d)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")),
+    "inlink_chunks": lambda s, d: graph.inlink_chunks(_pages(s, d), 3).select("stem", "chunk", "n", F.array_join("sources", "|").alias("sources")),
     "inlinks": lambda s, d: graph.inlinks(_pages(s, d)).select("stem", "inlinks", F.array_join("sources", "|").alias("sources")),
     "missing_reverse_links": lambda s, d: graph.missing_reverse(_pages(s, d)),
     "gap_pages": lambda s, d: graph.gaps(_pages(s, d)),

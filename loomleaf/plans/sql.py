@@ -158,6 +158,7 @@ _SQL = {
     "sql_sections": "SELECT stem, ord, heading, md5(body) AS body_md5 FROM sec",
     "sql_links": "SELECT source AS stem, pos::BIGINT AS pos, target, rel FROM rawlinks",
     "sql_claims": "SELECT stem, claim_no, md5(text) AS text_md5, section, array_to_string(sources, '|') AS sources FROM cl",
+    "inlink_chunks": "SELECT stem, chunk, count(*) AS n, string_agg(source, '|' ORDER BY source) AS sources FROM (SELECT stem, source, (row_number() OVER (PARTITION BY stem ORDER BY source) - 1) // 3 AS chunk FROM (SELECT stem, unnest(string_split(sources, '|')) AS source FROM inl)) GROUP BY stem, chunk",
     "merge_roots": """SELECT page, leads_to FROM (SELECT 'Doc ' || k AS page, CASE WHEN x = 0 THEN 'Doc 0' WHEN x % 3 = 1 AND x = (SELECT max(doc_id) FROM documents) THEN 'Doc ' || (x + 1) ELSE least('Doc ' || (x - (x % 3 = 2)::INT), 'Doc ' || (x + (x % 3 = 1)::INT)) END AS leads_to
    FROM (WITH RECURSIVE r AS (SELECT doc_id AS k, doc_id AS x FROM documents WHERE doc_id > 0 UNION ALL SELECT k, x // 3 FROM r WHERE x % 3 = 0 AND x > 0) SELECT k, min(x) AS x FROM r GROUP BY k)) WHERE page <> leads_to""",
     "source_candidates": f"""SELECT source, rank, stem, score FROM (
