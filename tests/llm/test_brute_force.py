@@ -75,7 +75,7 @@ def test_node_importance_as_brute_force(spark):
     pages = []
     for i in range(60):
         top, note = rng.choice(["Menu one", "Menu two"]), rng.choice([f"note {rng.randrange(40)}", "same note"])
-        pages.append((i, f"http://h{i % 2}/p", f"<div class=top>{top}</div><article><p>Text {i} of page</p><div class=note>{note}</div></article><div class=foot>All rights</div>"))
+        pages.append((i, f"http://h{i % 2}/p", f"<div class=top>{top}</div><article><p>Text {i} of page</p><div class=note>{note}</div></article><div class=foot>All rights</div><div class=ad>Buy {i}</div>"))
     pages += [(60, *pages[0][1:]), (61, None, None), (62, "http://h0/x", "")]
 
     def importance(host):
@@ -91,7 +91,8 @@ def test_node_importance_as_brute_force(spark):
             n = len(shown)
             share = [sum(t == x for t, _ in shown) / n for x in {t for t, _ in shown}]
             entropy = -sum(p * np.log(p) for p in share)
-            if n >= html_extract.FEWEST and entropy / np.log(n) + html_extract.PRESENTED * any(s for _, s in shown) < html_extract.IMPORTANCE:
+            told = entropy / np.log(n) if n >= html_extract.FEWEST else 1.0
+            if told + html_extract.PRESENTED * any(s for _, s in shown) - html_extract.HINTED * path.startswith(html_extract.MARK) < html_extract.IMPORTANCE:
                 low.add(path)
         return low
 
@@ -108,13 +109,29 @@ def test_node_importance_as_brute_force(spark):
 
 def test_hidden_inline_elements_and_headings(spark):
     def text(html):
-        return " ".join(t for *_, t in html_extract.blocks(html))
+        return " ".join(t for path, _, t in html_extract.blocks(html) if not path.startswith(html_extract.MARK))
 
     assert text("<p>a <span class='ad'>buy<span>now</span>LEAK</span> b</p>") == "a b"
     assert text("<article><h1 class=header>T</h1><p>one</p></article>") == "T one"
     assert text("<p>" + "long " * 50000 + "</p>") == ("long " * 50000).strip()
 
 
+def test_what_wraps_the_article_stays(spark):
+    """Classes alone don't decide; what they name goes where it is beside the article or within it."""
+
+    def texts(pages, **options):
+        df = spark.createDataFrame([(i, f"http://h{i % 3}/p", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+        return [r.text for r in sorted(html_extract.extract(df, **options).collect())]
+
+    names = ["article-header", "page-header", "no-sidebar", "reviews", "share", "notice", "widget", "content"]
+    assert texts([f"<article><div class='{n}'><h1>T</h1><p>one</p></div><div class=share>Tell</div></article>" for n in names]) == ["T one"] * len(names)
+    assert texts(["<form id=aspnet><div><h1>T</h1><p>one</p></div></form><footer><p>f</p></footer>"]) == ["T one"]
+    assert texts(["<div class=header><h1>Site</h1></div><article><p>one</p><div class=comments><article><p>said</p></article></div></article>"]) == ["one"]
+    # Without hints the tree alone cuts what repeats, in nav elements and footers as elsewhere.
+    plain = [f"<nav><ul><li>Home<li>About</ul></nav><article><h1>Title {i}</h1><p>Text of {i}</p></article><footer>All rights</footer>" for i in range(30)]
+    assert texts(plain, hint=0.0) == [f"Title {i} Text of {i}" for i in range(30)]
+
+
 # ---- 3
 
 
