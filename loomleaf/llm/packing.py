@@ -15,11 +15,12 @@ each task, and made global by the tasks' sums.
 
 Defined results: a null text counts as empty and is the closing id alone; repeated rows are packed each for itself;
 null ids stay null; an empty table gives an empty result; other columns don't matter. Texts are encoded whole, at any
-length; a task needs memory in proportion to its longest text.
+length, word by word (see Encoder); a task needs memory in proportion to its longest text.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +40,8 @@ CUT_COST = 1.02
 TOLERANCE, GAP, PIVOTS = 1e-4, 2e-4, 6
 #: How much prices are raised, turns until that is tried again, turns until the inverse is made anew.
 LIFT, RETRY, FRESH = 0.05, 4, 50
+#: Words that a task remembers at least.
+REMEMBERED = 500_000
 #: More documents of a class than there ever are.
 RANKS = 1 << 44
 
@@ -55,26 +58,106 @@ def _library(path: str):
     return library
 
 
+#: Blanks, ASCII letters, digits, signs; what may belong to a neighbour of another kind: apostrophes, all beyond ASCII.
+_BLANK, _LETTER, _DIGIT, _SIGN, _ANY = range(5)
+_KIND = np.full(256, _ANY, np.uint8)
+_KIND[:128] = _SIGN
+_KIND[[ord(c) for c in string.ascii_letters]] = _LETTER
+_KIND[[ord(c) for c in string.digits]] = _DIGIT
+_KIND[[ord(c) for c in " \n"]] = _BLANK
+_KIND[ord("'")] = _ANY
+
+
+def words(texts: pa.Array, whole: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The runs without spaces and line feeds of all texts, in order, and the row of each. Where none of `whole` is within, runs also end where ASCII letters, digits and signs meet, and after each digit."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    kind = _KIND[raw]
+    inside = kind != _BLANK
+    begins = np.unique(offsets[:-1] - offsets[0])
+    begins = begins[begins < len(raw)]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[begins] = inside[begins]
+    ends[:-1] &= ~inside[1:]
+    ends[begins[begins > 0] - 1] = inside[begins[begins > 0] - 1]
+    held = raw.tobytes()
+    if not any(w in held for w in whole):
+        left, right = kind[:-1], kind[1:]
+        known = (left > _BLANK) & (left < _ANY) & (right > _BLANK) & (right < _ANY)
+        meet = known & ((left != right) | (right == _DIGIT))
+        starts[1:] |= meet
+        ends[:-1] |= meet
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    places = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=places[1:])
+    found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(raw[inside])])
+    return found.dictionary_encode(), np.searchsorted(offsets - offsets[0], starts, "right") - 1
+
+
+class Encoder:
+    """A task's encoder: each word is encoded once and remembered, up to REMEMBERED words.
+
+    For tokenizers that drop white space and take letters, single digits and other signs apart, contractions aside, so
+    that words don't touch each other. Texts with strings of special tokens are taken apart at white space alone.
+    """
+
+    def __init__(self, path: str, closing: int):
+        self.library, self.closing = _library(path), closing
+        self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), closing + 1) <= 1 << 16 else "<u4")
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each text's followed by the closing one, and where each text's begin."""
+        found, row = words(texts, self.special)
+        each = found.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = [w for w in each if w not in self.known]
+        if new:
+            ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), self.kind, int(sizes.sum()))])
+        at = np.fromiter(map(self.known.__getitem__, each), np.int64, len(each))[found.indices.to_numpy()]
+        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        before = np.cumsum(size) - size
+        n = np.bincount(row, size, len(texts)).astype(np.int64) + 1
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        out = np.full(bounds[-1], self.closing, self.kind)
+        place = np.arange(int(size.sum()))
+        out[place + np.repeat(row, size)] = self.pool[place + np.repeat(begin - before, size)]
+        return out, bounds
+
+
 def encoded(df: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSING) -> DataFrame:
-    """doc_id, n (tokens, the closing one included), rest (n modulo length), part, nth (place among the rows of part and rest), ids (of two or four bytes)."""
+    """doc_id, n (tokens, the closing one included), rest (n modulo length), part, nth (place among the rows of part and rest), ids (of `width` bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library, part, seen = _library(path), TaskContext.get().partitionId(), np.zeros(length, np.int64)
-        kind = np.dtype("<u2" if max(library.get_vocab_size(), closing + 1) <= 1 << 16 else "<u4")
+        encode, part, seen = Encoder(path, closing), TaskContext.get().partitionId(), np.zeros(length, np.int64)
         for batch in batches:
-            for piece in slices(batch, 2 << 20):
-                ids = [np.array([*e.ids, closing], kind) for e in library.encode_batch_fast(piece.column(1).to_pylist(), add_special_tokens=False)]
-                n = np.array([len(x) for x in ids], np.int64)
+            for piece in slices(batch, 4 << 20):
+                ids, bounds = encode(piece.column(1))
+                n = np.diff(bounds)
                 rest = n % length
                 order = np.argsort(rest, kind="stable")
                 first = np.searchsorted(rest[order], rest[order])
                 nth = np.empty_like(n)
                 nth[order] = seen[rest[order]] + np.arange(len(n)) - first
                 seen += np.bincount(rest, minlength=length)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(rest), pa.array(np.full(len(n), part, np.int64)), pa.array(nth), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(np.full(len(n), kind.itemsize, np.int32))], ["doc_id", "n", "rest", "part", "nth", "ids", "width"])
+                width = ids.dtype.itemsize
+                held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(rest), pa.array(np.full(len(n), part, np.int64)), pa.array(nth), held, pa.array(np.full(len(n), width, np.int32))], ["doc_id", "n", "rest", "part", "nth", "ids", "width"])
 
     rows = df.select("doc_id", whole_text().alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, rest long, part long, nth long, ids binary, width int")

@@ -101,5 +101,20 @@ def test_program_finds_full_patterns():
     assert sum(x for _, x in found) * 512 <= (taken @ units) * 1.002 and taken @ units >= 0.98 * (demand @ np.arange(513))
 
 
+def test_words_as_whole_texts():
+    """Words encoded apart are the library's ids of the whole text, whatever stands between and within them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    signs = ["a", "B", "é", "e\u0301", "\u0301", "'s", "'", "12", "Σ", "ς", "İ", "ß", "日", "🙂", "<|endoftext|>", "<|start", "oftext|>", "-", "\u00a0", "\u2028", "\x0b", "\x1c", "\t", "\r\n", " ", " ", "\n", "ﬁ", "\u1100\u1161"]
+    texts = ["", " ", "\n \n"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    library, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH, 1)
+    plain = [t.replace("<|endoftext|>", "<|").replace("<|start", "|>") for t in texts]
+    for part in (texts[:1000], texts[1000:], texts[:5], plain):
+        ids, bounds = encode(pa.array([*part, "x"]).slice(0, len(part)))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in part]
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), PATH).collect() == []
