@@ -30,6 +30,21 @@ def variants(question: str) -> list[str]:
     return list({v.lower(): v for v in reversed(found)}.values())[::-1] if question.strip() else [question]
 
 
+def expanded(questions: DataFrame, column: str = "question", most: int = 5) -> DataFrame:
+    """The other columns, ord (from 1) and variant: `variants` of each question of a table. A null question has none."""
+    q = F.col(f"`{column}`")
+    words = F.filter(F.split(F.lower(F.regexp_replace(q, "[^a-zA-Z0-9 ]+", " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOPWORDS)))
+
+    def found(w: Column) -> Column:
+        first, back = F.array_join(w, " "), F.array_join(F.reverse(w), " ")
+        more = F.array(F.when((F.size(w) > 0) & (first != F.lower(q)), first), F.when((F.size(w) > 1) & (back != F.lower(q)) & (back != first), back))
+        return F.concat(F.array(q), F.filter(more, lambda v: v.isNotNull()))
+
+    rest = [F.col(f"`{c}`") for c in questions.columns if c != column]
+    each = questions.where(q.isNotNull()).select(*rest, F.posexplode(T.held(F.slice(words, 1, most), found)).alias("ord", "variant"))
+    return each.withColumn("ord", (F.col("ord") + 1).cast("long"))
+
+
 def index_boost(lines: DataFrame, question: str) -> DataFrame:
     """stem, boost: 5 for each longer word of the question within an index line (ord, line) of a page; of several lines the last."""
     words = F.array(*[F.lit(w) for w in sorted(set(question.lower().split())) if len(w) > 2] or [F.lit(None).cast("string")])

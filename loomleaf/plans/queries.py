@@ -121,7 +121,9 @@ def index_boost(spark, d):
 
 
 def expand_query(spark, d):
-    return spark.createDataFrame(list(enumerate(retrieval.variants(QUESTION), 1)), "q bigint, question string")
+    """Each turn of the conversations as a question."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("text").alias("question"))
+    return retrieval.expanded(turns).select("conv_id", "turn", "ord", F.md5("variant").alias("variant_md5"))
 
 
 def _pack(spark, d):

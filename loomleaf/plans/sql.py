@@ -147,7 +147,11 @@ _SQL = {
     "inlinks": "SELECT stem, inlinks, sources FROM inl",
     "missing_reverse_links": "SELECT source, target, type FROM e WHERE type <> 'neutral' AND NOT EXISTS (SELECT 1 FROM e b WHERE b.source = e.target AND b.target = e.source)",
     "gap_pages": "SELECT source, target FROM gaps",
-    "expand_query": "WITH w AS (SELECT list_filter(regexp_extract_all(lower('which document 17 domain en status'), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('what','which','where','when','why','how','is','are','the','a','an','of','to','for'))[1:5] AS words) SELECT 1::BIGINT AS q, 'which document 17 domain en status' AS question UNION ALL SELECT 2, array_to_string(words, ' ') FROM w UNION ALL SELECT 3, array_to_string(list_reverse(words), ' ') FROM w",
+    "expand_query": r"""SELECT conv_id, turn, i AS ord, md5(v[i]) AS variant_md5 FROM (
+   SELECT conv_id, turn, list_filter([q, CASE WHEN len(w) > 0 AND a <> lower(q) THEN a END, CASE WHEN len(w) > 1 AND b <> lower(q) AND b <> a THEN b END], lambda x: x IS NOT NULL) AS v FROM (
+    SELECT *, array_to_string(w, ' ') AS a, array_to_string(list_reverse(w), ' ') AS b FROM (
+     SELECT conv_id, turn::BIGINT AS turn, text AS q, list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9 ]+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND x NOT IN ('what','which','where','when','why','how','is','are','the','a','an','of','to','for'))[1:5] AS w
+     FROM conversations WHERE text IS NOT NULL))), unnest(range(1, len(v) + 1)) t(i)""",
     "index_boost": "SELECT stem, (5 * n)::BIGINT AS boost FROM (SELECT stem, contains(l, 'which')::INT + contains(l, 'document')::INT + contains(l, 'domain')::INT + contains(l, 'status')::INT AS n FROM (SELECT stem, lower(stem || ' ' || topic) AS l FROM p)) WHERE n > 0",
     "seed_pages": "SELECT stem, ord, score FROM seeds",
     "traverse_depth1": """SELECT stem, round_even(score, 2) AS score FROM (SELECT stem, 10.0::DOUBLE AS score FROM seeds WHERE stem NOT IN (SELECT e.target FROM seeds s JOIN e ON e.source = s.stem)

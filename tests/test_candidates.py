@@ -36,3 +36,11 @@ def test_as_plain_loops(spark, rare):
     got = candidates.candidates(spark.createDataFrame(sources, "source string, text string"), spark.createDataFrame(pages, PAGE).repartition(3), rare=rare, block=4)
     assert {tuple(r) for r in got.collect()} == plain(sources, pages, 5)
     assert candidates.candidates(spark.createDataFrame([], "source string, text string"), spark.createDataFrame(pages, PAGE)).collect() == []
+
+
+def test_expanded_as_variants(spark):
+    from loomleaf.operators import retrieval
+
+    asked = ["What is RAG", "", "  ", "the of", "one two three four five six", "aaa aaa", "Gamma", "gamma beta", "Été sur l'eau, NOW", "a-b_c? Which Index, where", "x" * 5000, "alpha\tbeta\nGamma"]
+    got = retrieval.expanded(spark.createDataFrame([*enumerate(asked), (99, None)], "i int, question string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, n, v) for i, q in enumerate(asked) for n, v in enumerate(retrieval.variants(q), 1)]
