@@ -19,7 +19,7 @@ from .streaming import ingest, recheck
 COMMANDS = {
     "ingest": ("source",), "ingest-folder": ("folder",), "process": ("source",), "extract": ("source",), "register": ("source",), "check": ("source",), "validate": ("--promote",), "link": (), "refine": (), "lint": (), "consolidate": (), "merge": ("primary", "secondary+"), "state": (), "health": (),
     "query": ("question", "--depth", "--top-k", "--no-expand", "--expand-only"), "pack": ("question", "--depth", "--top-k"), "agent-ingest": ("source",), "triage": (), "scaffold": ("title", "--type", "--source", "--force"),
-    "draft": ("kind", "--topic", "--audience"), "quality": ("page?",), "coverage": ("source",), "find": ("--tag", "--confidence"), "provenance": ("page",), "rebuild": (), "migrate": (), "generate-instructions": (), "log": ("-n",),
+    "draft": ("kind", "--topic", "--audience"), "quality": ("page?",), "coverage": ("source",), "find": ("--tag", "--confidence"), "provenance": ("page",), "rebuild": (), "update-graph": (), "migrate": (), "generate-instructions": (), "log": ("-n",),
     "save-answer": ("question?", "--title", "--type", "--confidence"), "extract-prompt": ("source", "--type"), "recheck": ("action", "--confidence", "--page"),
 }
 
@@ -105,6 +105,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str | list
         return wiki.whole_sidecars().where(F.lower("stem") == args.page.lower())
     if c == "rebuild":
         return wiki.rebuild()
+    if c == "update-graph":
+        return wiki.update_graph()
     if c == "migrate":
         wiki.migrate(wiki.today)
         return wiki.pages().select("stem", "confidence", "created")

@@ -25,11 +25,19 @@ def typed_links(pages: DataFrame) -> DataFrame:
     return links(pages).join(head.select("source", "target"), ["source", "target"], "left_anti").select("source", "pos", "target", "rel").unionByName(head)
 
 
+def page_names(pages: DataFrame) -> DataFrame:
+    """key, stem: by what links meet concepts and entities."""
+    return P.wiki(pages).groupBy(T.folded(F.col("stem")).alias("key")).agg(F.max_by("stem", F.struct("dir", "stem")).alias("stem"))
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """source, target (a page's stem where there is one), type, weight, pos; of equal edges the first."""
-    own = P.wiki(pages)
-    names = own.groupBy(T.folded(F.col("stem")).alias("key")).agg(F.max_by("stem", F.struct("dir", "stem")).alias("stem"))
-    joined = typed_links(own).withColumn("key", T.folded(F.col("target"))).join(names, "key", "left")
+    return edges_of(typed_links(P.wiki(pages)), page_names(pages))
+
+
+def edges_of(typed: DataFrame, names: DataFrame) -> DataFrame:
+    """The edges of links (source, pos, target, rel) to pages (names: key, stem)."""
+    joined = typed.withColumn("key", T.folded(F.col("target"))).join(names, "key", "left")
     resolved = joined.select("source", "pos", F.coalesce("stem", "target").alias("target"), F.col("rel").alias("type"))
     keys = [F.lower(c).alias(f"k{i}") for i, c in enumerate(("source", "target", "type"))]
     first = resolved.groupBy(*keys).agg(F.min(F.struct("source", "pos", "target", "type")).alias("e"))

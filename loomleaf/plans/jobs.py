@@ -12,6 +12,7 @@ from ..operators import graph, merge, provenance, quality, retrieval, rules, sta
 from ..operators import pages as P
 from ..sources import markdown
 from ..streaming import recheck
+from .incremental import Store
 from .stages import cut
 
 SCHEDULE = "page string, confidence string, total_checks long, stale_count long, clean_count long, interval_h double, last_checked_at timestamp_ntz, next_check_after timestamp_ntz"
@@ -250,6 +251,11 @@ class Wiki:
         self.log("rebuild", "indexes, graph, state and health written")
         return health
 
+    def update_graph(self) -> DataFrame:
+        """Takes edits of pages into the stored graph and inlinks; how many pages were parsed and edges made for it."""
+        told = Store(self.spark, f"{self.root}/tables/graph").update(markdown.read_files(self.spark, f"{self.root}/wiki"))
+        return self.spark.createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
+
     def draft(self, rows: DataFrame) -> None:
         markdown.write_pages(rows.withColumn("path", F.concat("dir", F.lit("/"), "stem", F.lit(".md"))), f"{self.root}/wiki")
         self.changed()

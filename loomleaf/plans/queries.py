@@ -13,6 +13,7 @@ from ..operators import candidates, graph, merge, provenance, quality, retrieval
 from ..operators import pages as P
 from ..sources import markdown, rendered
 from ..streaming import recheck, schedule
+from . import incremental
 from .sql import SQL  # noqa: F401  (registered beside the queries)
 from .stages import place
 
@@ -194,6 +195,16 @@ def merge_roots(spark, d):
     return merge.roots(mapping).select(F.col("secondary").alias("page"), F.col("primary").alias("leads_to"))
 
 
+def incremental_edges(spark, d):
+    """The graph of all pages, taken in as edits: at first half of them say something else."""
+    files = markdown.rendered(_pages(spark, d))
+    other = F.when(F.pmod(F.xxhash64("path"), F.lit(2)) == 0, F.lit("[[Doc 1]]\n")).otherwise(F.col("raw"))
+    store = incremental.Store(spark, place(spark, "graph"))
+    store.update(files.withColumn("raw", other))
+    store.update(files)
+    return store.edges().select("source", "target", "type", "weight")
+
+
 def page_reader(spark, d):
     """Pages written out with their heads, and read again by the parser of heads."""
     files = markdown.rendered(_pages(spark, d))
@@ -336,6 +347,7 @@ QUERIES = {
     "sql_sections": _lateral("wiki_sections", "bigint(ord) AS ord, heading, md5(body) AS body_md5"),
     "sql_links": _lateral("wiki_links", "bigint(pos) AS pos, target, rel"),
     "sql_claims": _lateral("wiki_claims", "bigint(claim_no) AS claim_no, md5(text) AS text_md5, section, array_join(sources, '|') AS sources"),
+    "incremental_edges": incremental_edges,
     "merge_roots": merge_roots,
     "merge_pages": merge_pages,
     "register_dedup": lambda s, d: merge.register(_docs(s, d)),

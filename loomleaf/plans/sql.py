@@ -140,6 +140,7 @@ _SQL = {
     "citations": f"SELECT f AS file, s AS section, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, {REF}, 1)) AS f, unnest(regexp_extract_all(content, {REF}, 2)) AS s FROM p) GROUP BY ALL",
     "claims": "SELECT stem, claim_no, 'claim-' || claim_no AS id, md5(text) AS text_md5, confidence, section, array_to_string(sources, '|') AS sources, array_to_string([trim(f[j]) || '#' || trim(s[j]) for j in range(1, len(f) + 1)], '|') AS refs, len(sources) > 1 AS corroborated FROM cl",
     "links": "SELECT source, pos::BIGINT AS pos, target, rel FROM rawlinks",
+    "incremental_edges": "SELECT source, target, type, weight FROM e",
     "typed_edges": "SELECT source, target, type, weight FROM e",
     "graph_nodes": "SELECT stem AS id, coalesce(type, 'unknown') AS type, path, confidence FROM wp",
     "graph_counts": "SELECT type, count(*) AS n, sum(weight) AS weight FROM e GROUP BY type",

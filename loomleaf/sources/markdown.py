@@ -104,6 +104,11 @@ def read_pages(spark: SparkSession, folder: str, dirs: tuple[str, ...] | None =
     return parsed(found)
 
 
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, raw of a wiki's pages, heads not parsed."""
+    return _files(spark, folder, "*.md")
+
+
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """dir, stem, corrupt and the fields of all sidecars; one that is no JSON object is corrupt."""
     found = _files(spark, folder, "*.md.provenance.json")
