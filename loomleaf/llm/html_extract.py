@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import fresh, map_arrow, stored
 
 FEWEST, IMPORTANCE, PRESENTED, HINTED, SHARES = 5, 0.3, 0.2, 1.0, 16
+#: So many branches (16 bytes each, and their hosts) are broadcast.
+FEW = 100_000
 #: Begins the path of a node that a hint speaks against.
 MARK = "!"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -138,8 +140,8 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
     return [(MARK + path if any(k not in page.void for k in against) else path, main, text) for path, main, against, text in page.blocks]
 
 
-def extract(df: DataFrame, html: str = "html", url: str = "url", hint: float = HINTED) -> DataFrame:
-    """df without `html`, with host, text and n_chars. hint: what a hint takes from a node's importance."""
+def extract(df: DataFrame, html: str = "html", url: str = "url", hint: float = HINTED, few: int = FEW) -> DataFrame:
+    """df without `html`, with host, text and n_chars. hint: what a hint takes from a node's importance; few: up to how many cut branches are broadcast."""
     from xxhash import xxh64_intdigest
 
     rest = [c for c in df.columns if c not in (html, "host", "text", "n_chars")]
@@ -166,11 +168,16 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", hint: float = H
     told = F.when(F.col("shown") >= FEWEST, F.col("entropy") / F.log("shown")).otherwise(1.0)
     importance = told + F.when(F.col("sure"), PRESENTED).otherwise(0.0) - F.when(F.col("hint"), hint).otherwise(0.0)
     low = nodes.where(importance < IMPORTANCE).select("host", "path")
-    # A node of a large host meets its pages in several groups.
-    there = parsed.select(F.col(row).alias(page_row), "host", F.explode(F.array_distinct(F.transform(nodes_, lambda b: b["path"]))).alias("path")).withColumn("share", F.pmod(F.col(page_row), F.lit(SHARES)))
-    low = low.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
-    cut = there.join(low, ["host", "path", "share"]).groupBy(page_row).agg(F.collect_set("path").alias(cut_))
-    trimmed = parsed.join(cut, parsed[row] == cut[page_row], "left")
+    low = stored(low, "low")
+    if low.limit(few + 1).count() <= few:
+        # The tree's cut branches are few: they go to the pages, whose texts stay where they are.
+        trimmed = parsed.join(F.broadcast(low.groupBy("host").agg(F.collect_set("path").alias(cut_))), "host", "left")
+    else:
+        # A node of a large host meets its pages in several groups.
+        there = parsed.select(F.col(row).alias(page_row), "host", F.explode(F.array_distinct(F.transform(nodes_, lambda b: b["path"]))).alias("path")).withColumn("share", F.pmod(F.col(page_row), F.lit(SHARES)))
+        dealt = low.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        cut = there.join(dealt, ["host", "path", "share"]).groupBy(page_row).agg(F.collect_set("path").alias(cut_))
+        trimmed = parsed.join(cut, parsed[row] == cut[page_row], "left")
     left = F.when(F.col(cut_).isNull(), F.col(nodes_)).otherwise(F.filter(nodes_, lambda b: ~F.array_contains(cut_, b["path"])))
     text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
     return trimmed.select(*[F.col(f"`{c}`") for c in rest], "host", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

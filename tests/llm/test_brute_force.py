@@ -101,6 +101,7 @@ def test_node_importance_as_brute_force(spark):
     want = {i: " ".join(t for p, _, t in html_extract.blocks(html or "") if p not in low.get((url or "//").split("/")[2], ())) for i, url, html in pages}
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in html_extract.extract(df, few=0).collect()} == want
     assert html_extract.extract(df.limit(0)).count() == 0
     for c in CLASH:
         df = df.withColumn(c, F.lit(f"own {c}"))
