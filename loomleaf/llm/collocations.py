@@ -3,7 +3,7 @@
 Three passes over the texts, each by Arrow batches:
 
 1. Words of each language are counted; those below `least` can be in no candidate and end fragments from here on.
-2. Pairs of neighbours are counted; pairs below `least` end fragments as well.
+2. Pairs of neighbours are counted by slots of a hash; pairs whose slot is below `least` end fragments as well.
 3. Around each word, its fragment holds the neighbours (four on each side at most) that aren't rarer than it is, up to
    the first that is, or up to an end. The fragment goes to the partition of that word, the pivot; equal fragments of a
    batch go once, with their number. There all phrases of the fragment that hold the pivot are counted: an occurrence
@@ -13,7 +13,7 @@ Three passes over the texts, each by Arrow batches:
 What tells rare words from others is a table of SLOTS classes of frequency, one for each slot of the words' CRC-32, and
 of frequent pairs a table of PAIR_SLOTS flags: their size is fixed, however many words there are, so that they are
 broadcast. Words that share a slot with a more frequent word count as that frequent while fragments are made, which
-makes some of them longer and changes no count: all counts are by whole words. The fragments of a hot pivot are dealt
+makes some of them longer and changes no count (pairs likewise): all counts are by whole words. The fragments of a hot pivot are dealt
 to as many shares as its frequency asks for, and the shares' counts are added.
 
 Defined results: a null text counts as empty, a null language is `und`, as is one so named; only A-Z are lower-cased;
@@ -38,8 +38,13 @@ LONGEST, LEAST, BEST, SHARE = 5, 100, 2000, 100
 #: Slots of the classes of words, of the flags of pairs; ratio between neighbouring classes.
 SLOTS, PAIR_SLOTS, RATIO = 1 << 20, 1 << 22, 1.05
 #: Occurrences of a pivot to a share of its fragments, about.
-SHARE_ROWS = 20_000
-SPREAD = 1_000_003
+SHARE_ROWS = 5_000
+#: Rows that a task holds before equal ones are added up.
+BUFFERED = 1 << 20
+#: Buckets of pivots and their shares: so many at least, and one for so many words of the input.
+BUCKETS, BUCKET_WORDS = 1 << 12, 2_000_000
+#: Pairs are counted by the slots of a range that the number of flags divides.
+SPREAD, PAIR_RANGE = 1_000_003, 1 << 31
 # Blanks between words, and what ends a piece.
 BLANKS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
@@ -103,18 +108,49 @@ def _shares(of: np.ndarray, least: int, rows: int) -> np.ndarray:
     return np.maximum(1, least * np.exp(np.minimum(of, 700) * np.log(RATIO)) // rows).astype(np.int64)
 
 
-def _mapped(df: DataFrame, f: Callable[[Words], pa.RecordBatch | None], schema: str) -> DataFrame:
+def _added(held: list[pa.RecordBatch]) -> pa.Table:
+    """The rows of batches with n added up over those that are equal in all else."""
+    names = held[0].schema.names
+    return pa.Table.from_batches(held).group_by([c for c in names if c != "n"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(names)
+
+
+def _mapped(df: DataFrame, f: Callable[[Words], pa.RecordBatch | None], schema: str, after: Callable[[pa.Table], pa.Table] = lambda t: t) -> DataFrame:
+    """What f makes of each batch, with n added up over equal rows of a task (as far as BUFFERED rows go), so that each goes through the shuffle once; then what `after` makes of these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for piece in slices(batch, 4 << 20):
                 words = Words(*piece.columns)
                 out = f(words) if words.n else None
                 if out is not None and out.num_rows:
-                    yield out
+                    held.append(out)
+                if sum(x.num_rows for x in held) > BUFFERED:
+                    yield from after(_added(held)).to_batches(max_chunksize=1 << 14)
+                    held = []
+        if held:
+            yield from after(_added(held)).to_batches(max_chunksize=1 << 14)
 
     return df.mapInArrow(run, schema)
 
 
+def _by_bucket(found: pa.Table, buckets: int) -> pa.Table:
+    """Fragments in lists, one for each bucket of pivots and their shares; equal fragments come to the same share."""
+    shares = found["shares"].to_numpy()
+    share = np.zeros(len(shares), np.int64)
+    split = np.flatnonzero(shares > 1)
+    texts = found["fragment"].take(pa.array(split)).to_pylist()
+    share[split] = np.array([zlib.crc32(t.encode()) for t in texts], np.int64) % shares[split]
+    bucket = (found["pivot"].to_numpy().astype(np.int64) * SPREAD + share * 7_919) % buckets
+    found = found.append_column("bucket", pa.array(bucket.astype(np.int32))).append_column("split", pa.array(shares > 1))
+    found = found.sort_by([(c, "ascending") for c in ("bucket", "lang", "pivot", "fragment")]).combine_chunks()
+    bucket = found["bucket"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    inner = ["lang", "split", "fragment", "at", "n"]
+    rows = pa.StructArray.from_arrays([found[c].combine_chunks() for c in inner], inner)
+    return pa.table({"bucket": pa.array(bucket[starts]), "fragments": pa.ListArray.from_arrays(pa.array(np.append(starts, len(bucket)).astype(np.int32)), rows)})
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """lang, word, n."""
 
@@ -137,36 +173,30 @@ def word_classes(frequent: DataFrame, least: int, slots: int = SLOTS) -> np.ndar
     return classes
 
 
-def pair_flags(pairs: DataFrame, slots: int = PAIR_SLOTS) -> np.ndarray:
-    """A flag for each slot in which a frequent pair (lang, phrase) is. At most `slots` numbers come to the driver."""
-    parts = F.split("phrase", " ")
-    slot = (_slot(F.get(parts, F.lit(0))) * SPREAD + _slot(F.get(parts, F.lit(1)))) % slots
-    flags = np.zeros(slots, bool)
-    flags[pairs.select(slot.cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
-    return flags
+def _pairs(words: Words, of: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words with a right neighbour, both frequent, and the pairs' slots."""
+    at = words.at
+    i = np.flatnonzero(words.joined)
+    i = i[(of[at[i]] > 0) & (of[at[i + 1]] > 0)]
+    return i, (sums[at[i]] * SPREAD + sums[at[i + 1]]) % PAIR_RANGE
 
 
-def count_pairs(texts: DataFrame, classes, least: int, share_rows: int = SHARE_ROWS) -> DataFrame:
-    """lang, phrase, n of the pairs of neighbours, routed to the rarer word; pairs of words that are both frequent."""
+def pair_flags(texts: DataFrame, classes, least: int, slots: int = PAIR_SLOTS) -> np.ndarray:
+    """A flag for each slot that a pair with `least` occurrences may be in. At most `slots` numbers come to the driver."""
 
-    def fragments(words: Words) -> pa.RecordBatch:
-        of, rank, _ = words.ranked(classes.value)
-        i = np.flatnonzero(words.joined)
-        a, b = words.at[i], words.at[i + 1]
-        both = (of[a] > 0) & (of[b] > 0)
-        pairs, n = np.unique(a[both] * len(of) + b[both], return_counts=True)
-        a, b = pairs // len(of), pairs % len(of)
-        pivot = np.where(rank[a] >= rank[b], a, b)
-        phrase = pc.binary_join_element_wise(words.word.take(pa.array(a)), words.word.take(pa.array(b)), " ")
-        return pa.RecordBatch.from_arrays([words.lang.take(pa.array(a)), words.word.take(pa.array(pivot)), pa.array(_shares(of[pivot], least, share_rows)), phrase, pa.array(n.astype(np.int64))], ["lang", "pivot", "shares", "phrase", "n"])
+    def count(words: Words) -> pa.RecordBatch:
+        of, _, sums = words.ranked(classes.value)
+        found, n = np.unique(_pairs(words, of, sums)[1], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    routed = _mapped(texts, fragments, "lang string, pivot string, shares long, phrase string, n long").withColumn("share", F.pmod(F.xxhash64("phrase"), F.col("shares"))).drop("shares").repartition("lang", "pivot", "share")
-    # A pair is a fragment of its own: all of its rows are in one share.
-    return routed.groupBy("lang", "pivot", "share", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "n")
+    often = _mapped(texts, count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    flags = np.zeros(slots, bool)
+    flags[often.select((F.col("slot") % slots).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    return flags
 
 
-def fragments(texts: DataFrame, classes, flags, least: int, longest: int = LONGEST, share_rows: int = SHARE_ROWS) -> DataFrame:
-    """lang, pivot, shares, fragment, at (the pivot's place), n: fragments of three words or more whose neighbours are frequent pairs."""
+def fragments(texts: DataFrame, classes, flags, least: int, longest: int = LONGEST, share_rows: int = SHARE_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """bucket (of the pivot, by its CRC-32, and its share), fragments (lang, split: whether the pivot has more shares, fragment, at: the pivot's place, n): of two words or more whose neighbours may be frequent pairs."""
     reach = longest - 1
 
     def cut(words: Words) -> pa.RecordBatch | None:
@@ -174,9 +204,9 @@ def fragments(texts: DataFrame, classes, flags, least: int, longest: int = LONGE
         near = flags.value
         at = words.at
         ranks, frequent = rank[at], of[at] > 0
-        link = words.joined & frequent
-        i = np.flatnonzero(link)
-        link[i] = frequent[i + 1] & near[(sums[at[i]] * SPREAD + sums[at[i + 1]]) % len(near)]
+        link = np.zeros(words.n, bool)
+        i, slot = _pairs(words, of, sums)
+        link[i] = near[slot % len(near)]
         left, right = np.zeros(words.n, np.int8), np.zeros(words.n, np.int8)
         alive, beyond = frequent.copy(), frequent.copy()
         for d in range(1, min(longest, words.n)):
@@ -187,7 +217,7 @@ def fragments(texts: DataFrame, classes, flags, least: int, longest: int = LONGE
             beyond[-d:] = False
             beyond[:-d] &= link[d - 1 : -1] & (ranks[d:] <= ranks[:-d])
             right += beyond
-        anchors = np.flatnonzero(left + right >= 2)
+        anchors = np.flatnonzero(left + right)
         if not len(anchors):
             return None
         around = anchors[:, None] + np.arange(-reach, reach + 1)
@@ -201,25 +231,25 @@ def fragments(texts: DataFrame, classes, flags, least: int, longest: int = LONGE
         text = pc.binary_join(pa.ListArray.from_arrays(pa.array(places), words.word.take(pa.array(codes[held]))), " ")
         pivot = codes[:, reach]
         unit = pa.array(pivot)
-        return pa.RecordBatch.from_arrays([words.lang.take(unit), words.word.take(unit), pa.array(_shares(of[pivot], least, share_rows)), text, pa.array(held[:, :reach].sum(1).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "pivot", "shares", "fragment", "at", "n"])
+        return pa.RecordBatch.from_arrays([words.lang.take(unit), pa.array(sums[pivot].astype(np.int32, casting="unsafe")), pa.array(_shares(of[pivot], least, share_rows).astype(np.int32)), text, pa.array(held[:, :reach].sum(1).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "pivot", "shares", "fragment", "at", "n"])
 
-    return _mapped(texts, cut, "lang string, pivot string, shares long, fragment string, at int, n long")
+    return _mapped(texts, cut, "bucket int, fragments array<struct<lang:string,split:boolean,fragment:string,at:int,n:bigint>>", lambda t: _by_bucket(t, buckets))
 
 
 def mined(found: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
-    """lang, phrase, n of the phrases of three words and more that pivots own, from their fragments."""
-    routed = found.withColumn("share", F.pmod(F.xxhash64("fragment"), F.col("shares"))).repartition("lang", "pivot", "share")
+    """lang, phrase, n of the phrases of two words and more that pivots own, from their fragments."""
+    routed = found.repartition("bucket").select("bucket", F.inline("fragments"))
     words, at = F.split("fragment", " "), F.col("at")
 
     def ends(start: Column) -> Column:
-        lo, hi = F.greatest(at, start + 2), F.least(F.size("words") - 1, start + longest - 1)
+        lo, hi = F.greatest(at, start + 1), F.least(F.size("words") - 1, start + longest - 1)
         return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda end: F.array_join(F.slice("words", start + 1, end - start + 1), " "))).otherwise(F.array().cast("array<string>"))
 
     phrases = F.flatten(F.transform(F.sequence(F.lit(0), at), ends))
-    own = routed.withColumn("words", words).select("lang", "pivot", "share", "shares", F.explode(phrases).alias("phrase"), "n")
-    counted = own.groupBy("lang", "pivot", "share", "shares", "phrase").agg(F.sum("n").alias("n"))
-    # A pivot with one share has all that there is of its phrases.
-    return counted.where((F.col("shares") > 1) | (F.col("n") >= least)).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    own = routed.withColumn("words", words).select("bucket", "lang", "split", F.explode(phrases).alias("phrase"), "n")
+    counted = own.groupBy("bucket", "lang", "split", "phrase").agg(F.sum("n").alias("n"))
+    # Where pivots have one share, all that there is of their phrases is here.
+    return counted.where(F.col("split") | (F.col("n") >= least)).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _part(first: Column, n: Column) -> Column:
@@ -258,11 +288,11 @@ def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, best
     totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     frequent = counts.where(F.col("n") >= least)
     classes = context.broadcast(word_classes(frequent, least, slots))
-    pairs = stored(count_pairs(texts, classes, least, share_rows), "pairs")
-    flags = context.broadcast(pair_flags(pairs, pair_slots))
-    longer = mined(fragments(texts, classes, flags, least, longest, share_rows), least, longest)
-    phrases = stored(frequent.select("lang", F.col("word").alias("phrase"), "n").unionByName(pairs).unionByName(longer), "phrases")
-    discard(counts, pairs)
+    flags = context.broadcast(pair_flags(texts, classes, least, pair_slots))
+    buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
+    longer = mined(fragments(texts, classes, flags, least, longest, share_rows, buckets), least, longest)
+    phrases = stored(frequent.select("lang", F.col("word").alias("phrase"), "n").unionByName(longer), "phrases")
+    discard(counts)
     kept = scored(phrases, totals).join(covered(phrases, share), ["lang", "phrase"], "left_anti")
     # First within shares of a language, so that a large one isn't sorted by one task.
     order = [F.desc("score"), F.desc("a"), "phrase"]

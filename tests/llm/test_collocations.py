@@ -41,7 +41,7 @@ def made(seed):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "least", "slots", "pair_slots"), [(1, 2, 1 << 16, 1 << 16), (2, 5, 4, 8), (3, 20, 1 << 16, 3)])
+@pytest.mark.parametrize(("seed", "least", "slots", "pair_slots"), [(1, 2, 1 << 16, 1 << 16), (2, 5, 4, 8), (3, 20, 1 << 16, 2)])
 def test_as_plain_counts(spark, seed, least, slots, pair_slots):
     """Also with tables so small that most words and pairs share slots."""
     docs = made(seed)
