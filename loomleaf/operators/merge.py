@@ -81,20 +81,27 @@ def merged(pages: DataFrame, primary: str, secondary: str, today: str) -> DataFr
 def roots(mapping: DataFrame) -> DataFrame:
     """secondary, primary, depth of a mapping's last ends: chains are followed, and of a cycle the page that is first by name is the end.
 
-    mapping: secondary, primary; of several primaries of one page the first by name counts. Steps are doubled, so that
-    a chain of n pages takes log2(n) joins.
+    mapping: secondary, primary; of several primaries of one page the first by name counts. Steps are doubled until
+    nothing moves, so that chains and cycles of up to n pages take some log2(n) joins, however many pages there are.
+    Joins are by sorting: no table goes through the driver.
     """
-    given = mapping.where("secondary <> primary").groupBy("secondary").agg(F.min("primary").alias("primary"))
-    ends = given.select(F.col("primary").alias("secondary")).distinct().join(given, "secondary", "left_anti")
-    # to: the page so many steps on; least: the first by name of those passed; far: steps until the end of a chain.
-    now = given.select(F.col("secondary").alias("page"), F.col("primary").alias("to"), F.col("secondary").alias("least"), F.lit(1).cast("long").alias("far"))
-    now = cut(now.unionByName(ends.select(F.col("secondary").alias("page"), F.col("secondary").alias("to"), F.col("secondary").alias("least"), F.lit(0).cast("long").alias("far"))))
-    for _ in range(given.count().bit_length()):
+    given = cut(mapping.where("secondary <> primary").groupBy("secondary").agg(F.min("primary").alias("primary")))
+    ends = given.select(F.col("primary").alias("secondary")).distinct().join(given.hint("merge"), "secondary", "left_anti")
+    # to: the page so many steps on; least: the first by name of those passed; far: steps until the end of a chain; moved: whether least changed.
+    now = given.select(F.col("secondary").alias("page"), F.col("primary").alias("to"), F.col("secondary").alias("least"), F.lit(1).cast("long").alias("far"), F.lit(True).alias("moved"))
+    now = cut(now.unionByName(ends.select(F.col("secondary").alias("page"), F.col("secondary").alias("to"), F.col("secondary").alias("least"), F.lit(0).cast("long").alias("far"), F.lit(False).alias("moved"))))
+    aims = None
+    while True:
+        # As many pages are led to as a round before: all these are ends, or lie on cycles. No least changed: each cycle was passed whole.
+        was, (aims, moved) = aims, now.agg(F.count_distinct("to"), F.count_if("moved")).first()
+        if aims == was and not moved:
+            break
         ahead = now.select(F.col("page").alias("to"), F.col("to").alias("to_2"), F.col("least").alias("least_2"), F.col("far").alias("far_2"))
-        now = cut(now.join(ahead, "to").select("page", F.col("to_2").alias("to"), F.least("least", "least_2").alias("least"), (F.col("far") + F.col("far_2")).alias("far")))
-    # After as many steps as there are pages one is at the end, or within the cycle, and all of it lies ahead.
+        met = now.join(ahead.hint("merge"), "to")
+        now = cut(met.select("page", F.col("to_2").alias("to"), F.least("least", "least_2").alias("least"), (F.col("far") + F.col("far_2")).alias("far"), (F.col("least_2") < F.col("least")).alias("moved")))
+    # Each page's `to` is at the end, or within the cycle, all of which lies ahead of it.
     last = now.select(F.col("page").alias("to"), F.col("least").alias("first"), (F.col("far") == 0).alias("ends"))
-    found = now.join(last, "to").select(F.col("page").alias("secondary"), F.when(F.col("ends"), F.col("to")).otherwise(F.col("first")).alias("primary"), F.col("far").alias("depth"))
+    found = now.join(last.hint("merge"), "to").select(F.col("page").alias("secondary"), F.when(F.col("ends"), F.col("to")).otherwise(F.col("first")).alias("primary"), F.col("far").alias("depth"))
     return found.where("secondary <> primary")
 
 
