@@ -1,8 +1,8 @@
 """Table functions for SQL: wiki_sections, wiki_links and wiki_claims of a text, for use in LATERAL joins.
 
 `register(spark)` makes them known. They give what the column forms give (`text.sections`, `text.relations`,
-`pages.claim_array`), a row at a time through Arrow; queries in the DataFrame API do better with the column forms, which
-stay in the JVM. A null text has no rows.
+`pages.claim_array`). Rows go to Python in small batches, not in Arrow ones of 10,000 whole texts, so that a worker's
+memory doesn't grow with the table; queries in the DataFrame API do better with the column forms, which stay in the JVM. A null text has no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ _LINK, _CITED, _WORDS = re.compile(T.LINK), re.compile(T.SOURCE, re.ASCII), re.c
 _SUFFIX = re.compile(rf":({'|'.join(T.RELATIONS)})\b")
 
 
-@udtf(returnType="ord int, heading string, body string", useArrow=True)
+@udtf(returnType="ord int, heading string, body string", useArrow=False)
 class Sections:
     """The second-level sections; of equal headings the first place and the last body."""
 
@@ -33,7 +33,7 @@ class Sections:
         yield from ((i, h, b) for i, (h, b) in enumerate(found.items()))
 
 
-@udtf(returnType="pos int, target string, rel string", useArrow=True)
+@udtf(returnType="pos int, target string, rel string", useArrow=False)
 class Links:
     """The links in order, with the relation behind each or among the three words before it."""
 
@@ -66,7 +66,7 @@ class Links:
             words.append("")
 
 
-@udtf(returnType="claim_no int, text string, section string, sources array<string>, refs array<struct<source:string,section:string>>", useArrow=True)
+@udtf(returnType="claim_no int, text string, section string, sources array<string>, refs array<struct<source:string,section:string>>", useArrow=False)
 class Claims:
     """Lines with a citation outside of Sources, without markup, numbered from 1."""
 
