@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,6 +27,20 @@ def typed_links(pages: DataFrame) -> DataFrame:
     return links(pages).join(head.select("source", "target"), ["source", "target"], "left_anti").select("source", "pos", "target", "rel").unionByName(head)
 
 
+def typed_link_array(content: Column, related: Column) -> Column:
+    """Array of (pos, target, rel): the typed links of one page, as `typed_links`, without a shuffle."""
+    entries = F.transform(F.coalesce(related, F.array().cast("array<string>")), lambda e, i: F.struct((i + (1 << 24)).alias("pos"), F.regexp_extract(e, T.TYPED_ENTRY, 1).alias("target"), F.regexp_extract(e, T.TYPED_ENTRY, 2).alias("rel")))
+
+    def last(head: Column) -> Column:
+        return T.held(F.reverse(F.transform(head, lambda h: h["target"])), lambda back: F.filter(head, lambda h, i: F.array_position(back, h["target"]) == F.size(back) - i))
+
+    def joint(head: Column) -> Column:
+        own = F.transform(T.relations(F.coalesce(content, F.lit(""))), lambda l, i: F.struct(i.alias("pos"), l["target"].alias("target"), l["rel"].alias("rel")))
+        return F.concat(T.held(F.transform(head, lambda h: h["target"]), lambda names: F.filter(own, lambda l: ~F.array_contains(names, l["target"]))), last(head))
+
+    return T.held(F.filter(entries, lambda h: h["target"] != ""), joint)
+
+
 def page_names(pages: DataFrame) -> DataFrame:
     """key, stem: by what links meet concepts and entities."""
     return P.wiki(pages).groupBy(T.folded(F.col("stem")).alias("key")).agg(F.max_by("stem", F.struct("dir", "stem")).alias("stem"))

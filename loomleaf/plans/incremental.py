@@ -51,11 +51,14 @@ class Store:
         old, old_edges, old_inlinks = self.table("facts", FACTS, was), self.table("edges", EDGES, was), self.table("inlinks", INLINKS, was)
         now = was + 1
         out = f"{self.folder}/v{now}"
-        keyed = files.select("path", F.sha2("raw", 256).alias("digest"), "raw")
-        edited = keyed.join(old.select("path", "digest"), ["path", "digest"], "left_anti")
-        self._facts(edited).write.mode("overwrite").parquet(f"{out}/edited")
+        # One pass over the files: of those that are as they were only path and digest are written.
+        digest = F.sha2("raw", 256)
+        met = files.select("path", digest.alias("digest"), "raw").join(old.select("path", "digest", F.lit(True).alias("same")), ["path", "digest"], "left")
+        met.select("path", "digest", F.col("same").isNotNull().alias("same"), F.when(F.col("same").isNull(), F.col("raw")).alias("raw")).write.mode("overwrite").parquet(f"{out}/seen")
+        seen = self.spark.read.schema("path string, digest string, same boolean, raw string").parquet(f"{out}/seen")
+        self._facts(seen.where("NOT same").select("path", "digest", "raw")).write.mode("overwrite").parquet(f"{out}/edited")
         new = self.spark.read.schema(FACTS).parquet(f"{out}/edited")
-        kept = old.join(keyed.select("path", "digest"), ["path", "digest"], "left_semi")
+        kept = old.join(seen.where("same").select("path", "digest"), ["path", "digest"], "left_semi")
         kept.unionByName(new).write.mode("overwrite").parquet(f"{out}/facts")
         facts = self.spark.read.schema(FACTS).parquet(f"{out}/facts")
         gone = old.join(facts.select("path", "digest"), ["path", "digest"], "left_anti")
@@ -83,8 +86,6 @@ class Store:
     @staticmethod
     def _facts(files: DataFrame) -> DataFrame:
         """FACTS of files (path, digest, raw)."""
-        parsed = markdown.parsed(files.select("path", "raw"))
-        links = graph.typed_links(P.wiki(parsed).withColumn("stem", F.col("path"))).groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "target", "rel"))).alias("links"))
-        own = parsed.select("path", "dir", "stem", F.array_distinct(T.link_targets(F.col("content"))).alias("targets"))
         none = F.array().cast("array<struct<pos:int,target:string,rel:string>>")
-        return files.select("path", "digest").join(own, "path").join(links, "path", "left").select("path", "digest", "dir", "stem", F.coalesce("links", none).alias("links"), "targets")
+        links = F.when(F.col("dir").isin("concepts", "entities"), graph.typed_link_array(F.col("content"), F.col("related_concepts"))).otherwise(none)
+        return markdown.parsed(files).select("path", "digest", "dir", "stem", links.alias("links"), F.array_distinct(T.link_targets(F.col("content"))).alias("targets"))
