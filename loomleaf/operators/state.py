@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stages import cut
 from . import graph
 from . import pages as P
 from . import provenance
@@ -19,6 +20,16 @@ def page_state(pages: DataFrame, sidecars: DataFrame, files: DataFrame, neighbou
     neighbours (graph.inlink_chunks): with it inlinks are the first list of each page, and n_inlinks tells how many
     there are in all, so that a hub's row stays small; its further lists are in that table.
     """
+    marked = page_marks(pages, sidecars, files)
+    if neighbours is None:
+        back = graph.inlinks(pages).select("stem", F.col("sources").alias("inlinks"))
+    else:
+        back = neighbours.groupBy("stem").agg(F.sum("n").alias("n_inlinks"), F.max(F.when(F.col("chunk") == 0, F.col("sources"))).alias("inlinks"))
+    return marked.join(back, "stem", "left").withColumn("inlinks", F.coalesce("inlinks", F.array().cast("array<string>")))
+
+
+def page_marks(pages: DataFrame, sidecars: DataFrame, files: DataFrame) -> DataFrame:
+    """page_state without what other pages decide: its inlinks."""
     own = P.wiki(pages)
     stale = provenance.stale_sources(sidecars, files).select("stem").distinct().withColumn("stale", F.lit(True))
     by_dir = F.when(F.col("dir") == "entities", "entitie").otherwise("concept")
@@ -26,12 +37,7 @@ def page_state(pages: DataFrame, sidecars: DataFrame, files: DataFrame, neighbou
         "stem", F.coalesce("type", by_dir).alias("type"), F.coalesce("confidence", F.lit("")).alias("confidence"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), T.link_targets(F.col("content")).alias("outlinks"),
         F.coalesce("last_updated", "created", F.lit("")).alias("last_updated"), (F.regexp_count("content", F.lit(r"(?m)^##\s+")) < 2).alias("thin"), F.col("content").rlike(r"(?i)>\s*\[!warning\]\s*CONTRADICTION").alias("contradictory"),
     )
-    if neighbours is None:
-        back = graph.inlinks(pages).select("stem", F.col("sources").alias("inlinks"))
-    else:
-        back = neighbours.groupBy("stem").agg(F.sum("n").alias("n_inlinks"), F.max(F.when(F.col("chunk") == 0, F.col("sources"))).alias("inlinks"))
-    found = state.join(back, "stem", "left").join(stale, "stem", "left")
-    return found.withColumns({"inlinks": F.coalesce("inlinks", F.array().cast("array<string>")), "stale": F.coalesce("stale", F.lit(False))})
+    return state.join(stale, "stem", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
 
 
 def recent_changes(state: DataFrame, most: int = 10) -> DataFrame:
@@ -99,7 +105,9 @@ def missing_pages(issues: DataFrame) -> DataFrame:
 
 
 def triage(issues: DataFrame, state: DataFrame) -> DataFrame:
-    """id, type, priority, score, title, reason of what is to be done: errors, contradictions, stale and thin pages, missing pages."""
+    """id, type, priority, score, title, reason of what is to be done: errors, contradictions, stale and thin pages, missing pages. Of the state only stem, confidence, thin and stale are asked (see page_marks)."""
+    # Each is read several times.
+    issues, state = cut(issues.select("severity", "code", "page", "message")), cut(state.select("stem", "confidence", "thin", "stale"))
     kind = (
         F.when(F.col("code").isin("BROKEN_LINK", "BROKEN_LINKS"), None).when(F.col("code").isin("STALE_PAGE", "STALE_PAGES"), "stale_page")
         .when(F.col("code").isin("UNRESOLVED_CONTRADICTION", "CONTRADICTION"), "contradiction").when(F.col("severity") == "ERROR", "error")
