@@ -60,6 +60,17 @@ def edges_of(typed: DataFrame, names: DataFrame) -> DataFrame:
     return first.select("e.source", "e.target", "e.type", T.weight(F.col("e.type")).alias("weight"), "e.pos")
 
 
+def edges_from(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For `traverse`: a function that gives the edges that leave some nodes (node). Only these nodes' pages are parsed."""
+
+    def found(nodes: DataFrame) -> DataFrame:
+        low = nodes.select(F.lower("node").alias("low")).distinct()
+        some = P.wiki(pages).join(low, F.lower("stem") == F.col("low"), "left_semi")
+        return edges_of(typed_links(cut(some.select("stem", "content", "related_concepts"))), page_names(pages))
+
+    return found
+
+
 def nodes(pages: DataFrame) -> DataFrame:
     """id, type, path, confidence of the graph's pages."""
     return P.named(pages).select(F.col("stem").alias("id"), F.coalesce("type", F.lit("unknown")).alias("type"), "path", "confidence")
@@ -111,7 +122,7 @@ def gaps(pages: DataFrame) -> DataFrame:
     return missing(pages.select(F.col("stem").alias("source"), F.explode(T.link_targets(F.col("content"))).alias("target")), pages)
 
 
-def traverse(seeds: DataFrame, all_edges: DataFrame, depth: int, start: float = 10.0) -> DataFrame:
+def traverse(seeds: DataFrame, all_edges: DataFrame | Callable[[DataFrame], DataFrame], depth: int, start: float = 10.0) -> DataFrame:
     """node, score, path, ord: seeds (stem, ord) spread along out-edges, `depth` times.
 
     In each layer the candidates of a target are folded in the order of layer and edge: one that exceeds the target's
@@ -120,12 +131,18 @@ def traverse(seeds: DataFrame, all_edges: DataFrame, depth: int, start: float =
 
     Only candidates above all before them can be accepted, so that each task first drops those that can't be: a hub
     gathers a few strictly rising candidates, however many edges lead to it.
+
+    all_edges: the graph, or a function from nodes to the edges that leave them (`edges_from`), called for each layer.
     """
-    seeds, all_edges = cut(seeds), cut(all_edges.select("source", "target", "type", "weight", "pos"))
+    seeds, given = cut(seeds), all_edges
+    if not callable(given):
+        all_edges = cut(given.select("source", "target", "type", "weight", "pos"))
     first = seeds.select(F.col("stem").alias("node"), F.lit(start).alias("score"), F.array("stem").alias("path"), F.array(F.col("ord").cast("long")).alias("ord"))
     visited = layer = first
-    outward = all_edges.select("source", "target", "weight", F.array(F.lit(0).cast("long"), F.col("pos").cast("long"), F.xxhash64("target", "type")).alias("at"))
     for d in range(depth):
+        if callable(given):
+            all_edges = cut(given(layer.select("node")).select("source", "target", "type", "weight", "pos"))
+        outward = all_edges.select("source", "target", "weight", F.array(F.lit(0).cast("long"), F.col("pos").cast("long"), F.xxhash64("target", "type")).alias("at"))
         own = layer.join(outward, layer["node"] == outward["source"])
         other = layer.where(F.lower("node") != F.col("node")).join(outward, F.lower("node") == F.col("source")).withColumn("at", F.concat(F.array(F.lit(1).cast("long")), F.slice("at", 2, 2)))
         both = own.unionByName(other).join(visited.select(F.col("node").alias("to"), F.col("score").alias("had")), F.col("target") == F.col("to"), "left")
@@ -149,7 +166,7 @@ def traverse(seeds: DataFrame, all_edges: DataFrame, depth: int, start: float =
     return visited
 
 
-def reached(seeds: DataFrame, all_edges: DataFrame, names: DataFrame, depth: int = 2) -> DataFrame:
+def reached(seeds: DataFrame, all_edges: DataFrame | Callable[[DataFrame], DataFrame], names: DataFrame, depth: int = 2) -> DataFrame:
     """rank, stem, score (two decimals), path of the existing pages (names: stem) that a traversal reaches, best first; without edges the seeds."""
     found = traverse(seeds, all_edges, depth)
     best = found.join(names.select("stem").distinct(), F.col("node") == F.col("stem"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,6 +141,8 @@ def pack_pages(pages: DataFrame, reached: DataFrame, stale: DataFrame, question:
     """reading, stem, title, type, confidence, stale, score, rank_score, path, headings of the pages that a traversal (rank, stem, score, path) reached, best first."""
     own = P.wiki(pages).select("stem", F.coalesce("title", "stem").alias("title"), F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("confidence", F.lit("")).alias("confidence"), "content")
     flags = stale.select("stem", F.lit(True).alias("stale")).distinct()
+    # Before their texts are made, pages that weren't reached go.
+    own = own.join(reached.select("stem"), "stem", "left_semi")
     met = reached.join(own, "stem").join(flags, "stem", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
     args = [F.col(c) for c in ("title", "content", "score", "path", "stem", "confidence", "stale")]
     ranked = met.withColumn("rank_score", pack_score(question, *args))
@@ -169,15 +172,38 @@ def claim_line(c: str = "") -> Column:
     return F.rtrim(F.concat(F.lit("- "), T.shortened(F.col("text")), F.lit(" "), cited))
 
 
-def pack(pages: DataFrame, sidecars_stale: DataFrame, issues: DataFrame, question: str, depth: int = 2, top: int = 5) -> dict[str, DataFrame]:
-    """The tables of a context pack: pages, claims, relationships, missing, summary."""
-    all_edges = cut(graph.edges(pages))
-    found = graph.reached(seeds(pages, [question], top), all_edges, P.wiki(pages), depth)
-    packed = cut(pack_pages(pages, found, sidecars_stale, question))
-    # Only the pack's pages are looked at for claims.
-    own = P.wiki(pages).join(packed.select("stem"), "stem", "left_semi")
-    claims = cut(pack_claims(P.claims(own), packed))
-    related = cut(pack_relationships(all_edges, packed, pages))
-    broken = issues.where("code IN ('BROKEN_LINK', 'BROKEN_LINKS')").select(F.regexp_extract("message", r"\[\[([^\]]+)\]\]", 1).alias("target"))
-    missing = broken.unionByName(related.where("NOT target_exists").select("target")).where("target <> ''").distinct()
-    return {"pages": packed, "claims": claims, "relationships": related, "missing": missing, "summary": claims.where("ord <= 3").select("ord", claim_line().alias("line"))}
+class Pack(dict):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = found = self.makers[name]()
+        return found
+
+
+def pack(pages: DataFrame, sidecars_stale: DataFrame, issues: DataFrame | Callable[[], DataFrame], question: str, depth: int = 2, top: int = 5) -> Pack:
+    """The tables of a context pack: pages, claims, relationships, missing, summary. issues: a table with all broken links, or what makes it."""
+
+    def packed() -> DataFrame:
+        # Only pages that the traversal passes are parsed for links.
+        found = graph.reached(seeds(pages, [question], top), graph.edges_from(pages), P.wiki(pages), depth)
+        return cut(pack_pages(pages, found, sidecars_stale, question))
+
+    def claims() -> DataFrame:
+        # Only the pack's pages are looked at for claims.
+        own = P.wiki(pages).join(parts["pages"].select("stem"), "stem", "left_semi")
+        return cut(pack_claims(P.claims(own), parts["pages"]))
+
+    def related() -> DataFrame:
+        return cut(pack_relationships(cut(graph.edges(pages)), parts["pages"], pages))
+
+    def missing() -> DataFrame:
+        all_issues = issues() if callable(issues) else issues
+        broken = all_issues.where("code IN ('BROKEN_LINK', 'BROKEN_LINKS')").select(F.regexp_extract("message", r"\[\[([^\]]+)\]\]", 1).alias("target"))
+        return cut(broken.unionByName(parts["relationships"].where("NOT target_exists").select("target")).where("target <> ''").distinct())
+
+    parts = Pack(pages=packed, claims=claims, relationships=related, missing=missing, summary=lambda: parts["claims"].where("ord <= 3").select("ord", claim_line().alias("line")))
+    return parts

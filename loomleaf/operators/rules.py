@@ -103,6 +103,12 @@ def broken_links(known: DataFrame, names: DataFrame | None = None, wording: tupl
     return _rows(found.join(names, "key", "left_anti"), "BROKEN_LINK", F.concat(F.lit(wording[0]), "target", F.lit(wording[1])))
 
 
+def targets(pages: DataFrame) -> DataFrame:
+    """stem, targets: what `broken_links` needs of facts, for those who ask for nothing else."""
+    own = P.linted(pages)
+    return own.select("stem", T.link_targets(P.raw(own)).alias("targets"))
+
+
 def orphans(known: DataFrame) -> DataFrame:
     linked = known.select(F.explode("targets").alias("target")).select(F.lower("target").alias("key")).distinct()
     lonely = known.where("NOT generated AND n_links = 0").withColumn("key", F.lower("stem"))

@@ -97,8 +97,8 @@ class Wiki:
         ranked = found.withColumnRenamed("rank", "ord").join(self.pages().select("stem", "type", "confidence", "content"), "stem")
         return retrieval.context(ranked, budget).orderBy("ord")
 
-    def pack(self, question: str, depth: int = 2, top: int = 5) -> dict[str, DataFrame]:
-        return retrieval.pack(self.pages(), self.stale(), self.issues(), question, depth, top)
+    def pack(self, question: str, depth: int = 2, top: int = 5) -> retrieval.Pack:
+        return retrieval.pack(self.pages(), self.stale(), self.issues, question, depth, top)
 
     def quality(self) -> DataFrame:
         return quality.page_quality(self.pages(), self.issues(), self.sidecars(), self.files())
