@@ -67,3 +67,34 @@ def test_falls_due_without_another_check(spark, tmp_path):
         query.stop()
     updates = schedule.read_updates(spark, f"{tmp_path}/out")
     assert {r.page for r in schedule.due_pages(updates).collect()} == {"Old"} and {r.page for r in updates.where("event = 'checked'").collect()} == {"A"}
+
+
+def test_fold_keeps_what_matters():
+    """Of each page the counts, the latest stale check and the latest clean ones after it, as plain loops find them."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    checks = [(rng.choice(["A", "B", None, "é"]), rng.randrange(40), rng.randrange(4), rng.random() < 0.08, rng.choice([None, "", "LOW"])) for _ in range(200)] + [("Z", 1, 1, True, None)]
+    fields = ("page", "at", "seq", "stale", "confidence")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+    got = {r["page"]: r for r in schedule.folded(pa.table({f: pa.array(v, k) for f, v, k in zip(fields, zip(*checks), kinds)})).to_pylist()}
+    assert set(got) == {c[0] for c in checks}
+    for page, r in got.items():
+        own = [c for c in checks if c[0] == page]
+        reset = max((c[1:3] for c in own if c[3]), default=None)
+        clean = sorted(c[1:3] for c in own if not c[3] and (reset is None or c[1:3] > reset))[-schedule.ENOUGH :]
+        found = [c for c in zip(r["clean_at"], r["clean_seq"]) if reset is None or c > reset]
+        assert (r["total"], r["stale"], r["last"], (r["at"], r["seq"])) == (len(own), sum(c[3] for c in own), max(c[1] for c in own), reset or (None, None))
+        assert found == clean and r["confidence"] == next((c[4] for c in own if c[4]), None)
+
+
+def test_a_page_costs_a_row_and_the_first_schedule_stays(spark, tmp_path):
+    """The operator gets a row for each page, not for each check; a later start's schedule doesn't replace the first one's."""
+    every = made(5, 300)
+    held = spark.createDataFrame(every, "page string, at timestamp, seq long, stale boolean").selectExpr("page", "unix_micros(at) AS at", "seq", "stale", "CAST(NULL AS string) AS confidence")
+    assert held.repartition("page").mapInArrow(schedule._fold, schedule.FOLDED).count() == len({c[0] for c in every})
+    first, other = (spark.createDataFrame([(p, c, None, None, None, None) for p, c in levels.items()], entries(spark).schema) for levels in (LEVELS, {"A": "LOW", "B": "HIGH", "C": "HIGH", "D": "HIGH"}))
+    parts = [[c for c in every if c[0] == "A"], [c for c in every if c[0] != "A"]]
+    taken(spark, str(tmp_path), parts[:1], first)
+    updates = taken(spark, str(tmp_path), parts[1:], other)
+    assert rows(schedule.latest(updates)) == rows(recheck.fold(spark.createDataFrame(every, CHECKS), spark.createDataFrame(list(LEVELS.items()), "page string, confidence string")))
