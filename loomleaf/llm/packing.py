@@ -23,6 +23,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +41,18 @@ CUT_COST = 1.02
 TOLERANCE, GAP, PIVOTS = 1e-4, 2e-4, 6
 #: How much prices are raised, turns until that is tried again, turns until the inverse is made anew.
 LIFT, RETRY, FRESH = 0.05, 4, 50
-#: Words that a task remembers at least.
-REMEMBERED = 500_000
+#: Words that a worker remembers at least; beyond that, those go that it met in one batch alone. New words go to the library by so many.
+REMEMBERED, JOINED = 500_000, 256
 #: More documents of a class than there ever are.
 RANKS = 1 << 44
 
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+#: A digit, as digits are taken apart from all that is beside them.
+BETWEEN = "0"
+
+
 @lru_cache(2)
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -97,7 +102,7 @@ def words(texts: pa.Array, whole: list[bytes]) -> tuple[pa.DictionaryArray, np.n
 
 
 class Encoder:
-    """A task's encoder: each word is encoded once and remembered, up to REMEMBERED words.
+    """A worker's encoder: each word is encoded once and remembered, up to REMEMBERED words.
 
     For tokenizers that drop white space and take letters, single digits and other signs apart, contractions aside, so
     that words don't touch each other. Texts with strings of special tokens are taken apart at white space alone.
@@ -107,11 +112,47 @@ class Encoder:
         self.library, self.closing = _library(path), closing
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), closing + 1) <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self._forget()
+        #: The word between words that are encoded together, and its id.
+        self.between = self.library.encode(BETWEEN, add_special_tokens=False).ids
+        self._remember([], np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, np.int64))
+
+    def _remember(self, found: list[str], sizes: np.ndarray, pool: np.ndarray, met: np.ndarray) -> None:
+        self.known = dict(zip(found, range(len(found))))
+        self.starts, self.pool, self.met = np.concatenate([[0], np.cumsum(sizes)]), pool, met
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        """Words that one batch alone had go, and all if that is less than half."""
+        keep = np.flatnonzero(self.met > 1)
+        if 2 * len(keep) > len(self.met):
+            keep = keep[:0]
+        sizes, each = np.diff(self.starts), list(self.known)
+        held = np.zeros(len(sizes), bool)
+        held[keep] = True
+        self._remember([each[i] for i in keep.tolist()], sizes[keep], self.pool[np.repeat(held, sizes)], np.ones(len(keep), np.int64))
+
+    def _apart(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids: each word for itself."""
+        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter((i for x in ids for i in x), self.kind, int(sizes.sum()))
+
+    def encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _apart, of many words at once, told apart by the id of the word between them. Where that word is found elsewhere too, each goes for itself."""
+        if len(self.between) != 1:
+            return self._apart(new)
+        parts = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        sizes, pools = [], []
+        for part, e in zip(parts, self.library.encode_batch_fast([f" {BETWEEN} ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            at = np.flatnonzero(ids == self.between[0])
+            if len(at) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+                pools.append(np.delete(ids, at))
+            else:
+                size, pool = self._apart(part)
+                sizes.append(size)
+                pools.append(pool)
+        return np.concatenate(sizes), np.concatenate(pools)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each text's followed by the closing one, and where each text's begin."""
@@ -119,14 +160,17 @@ class Encoder:
         each = found.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [w for w in each if w not in self.known]
-        if new:
-            ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.fromiter(map(self.known.get, each, repeat(-1)), np.int64, len(each))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [each[i] for i in missing.tolist()]
+            sizes, pool = self.encoded(new)
+            at[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, at[missing].tolist()))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), self.kind, int(sizes.sum()))])
-        at = np.fromiter(map(self.known.__getitem__, each), np.int64, len(each))[found.indices.to_numpy()]
+            self.pool, self.met = np.concatenate([self.pool, pool]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[at] += 1
+        at = at[found.indices.to_numpy()]
         begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         before = np.cumsum(size) - size
         n = np.bincount(row, size, len(texts)).astype(np.int64) + 1
@@ -137,6 +181,12 @@ class Encoder:
         return out, bounds
 
 
+@lru_cache(1)
+def _encoder(path: str, closing: int) -> Encoder:
+    """A worker's own, for all its tasks."""
+    return Encoder(path, closing)
+
+
 def encoded(df: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSING) -> DataFrame:
     """doc_id, n (tokens, the closing one included), rest (n modulo length), part, nth (place among the rows of part and rest), ids (of `width` bytes each)."""
 
@@ -144,7 +194,7 @@ def encoded(df: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSI
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, seen = Encoder(path, closing), TaskContext.get().partitionId(), np.zeros(length, np.int64)
+        encode, part, seen = _encoder(path, closing), TaskContext.get().partitionId(), np.zeros(length, np.int64)
         for batch in batches:
             for piece in slices(batch, 4 << 20):
                 ids, bounds = encode(piece.column(1))

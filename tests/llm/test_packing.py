@@ -116,5 +116,30 @@ def test_words_as_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in part]
 
 
+def test_words_together_and_forgotten(monkeypatch):
+    """Words encoded together have the ids they have alone, also with the word between them within; what batches share is remembered beyond the limit."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH, 1)
+    found = ["0", "é0", "0日0", "abc", "\u0301", "'", "'s", "<|endoftext|>", "Σ", "don't"] + [f"w{chr(97 + i % 26) * (i % 7)}é{i}" for i in range(900)]
+    sizes, pool = encode.encoded(found)
+    ends = np.cumsum(sizes)
+    assert [pool[e - n : e].tolist() for n, e in zip(sizes, ends)] == [library.encode(w, add_special_tokens=False).ids for w in found]
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    asked = []
+    whole = encode.encoded
+    monkeypatch.setattr(encode, "encoded", lambda new: (asked.append(list(new)), whole(new))[1])
+    for i in range(60):
+        text = f"always here {'abcdefghij'[i % 10] * (i + 2)}"
+        ids, _ = encode(pa.array([text]))
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert len(encode.known) < 40 and sum("always" in new for new in asked) < 10
+
+
+def test_tasks_of_a_worker_share_words():
+    assert packing._encoder(PATH, 1) is packing._encoder(PATH, 1)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), PATH).collect() == []
