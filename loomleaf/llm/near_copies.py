@@ -126,14 +126,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array([c[i] for i in right], pa.int64()), pa.array([found[i].view(np.int64) for i in right], pa.list_(pa.int64()))], ["c", "tokens"])
 
     pairs = stored(pairs, "pairs")
+    tidy(rows.sparkSession)
     asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    # Different texts can share an id: the set must be that of the class.
-    texts = rows.join(classes.join(asked, "c").select("c", F.col("least").alias("doc_id")), "doc_id").select("c", "text")
-    sets = stored(map_arrow(texts, run, "c long, tokens array<long>").dropDuplicates(["c"]), "sets")
+    # Different texts can share an id: the set must be that of the class. Repeats go by keys that hold the join's, so that sets, which
+    # are larger than their texts, aren't shuffled for it.
+    named = classes.join(asked, "c").select("c", F.col("least").alias("doc_id"), "print")
+    texts = rows.join(named, "doc_id").where(F.xxhash64("text") == F.col("print")).dropDuplicates(["doc_id", "c", "print"]).select("c", "text")
+    sets = stored(map_arrow(texts, run, "c long, tokens array<long>"), "sets")
+    tidy(rows.sparkSession)
     one, two = (sets.select(F.col("c").alias(k), F.col("tokens").alias(f"of_{k}")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     found = stored(both.where("9 * common >= 4 * (size(of_a) + size(of_b))").select("a", "b"), "links")
     discard(pairs, sets)
+    tidy(rows.sparkSession)
     return found
 
 
@@ -147,13 +152,18 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         prints = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
         found = [np.unique(h) for h in every]
         first = pa.array([prefix(h, frequent).view(np.int64) for h in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(prints), first], ["doc_id", "c", "n", "fp", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(prints), first], ["doc_id", "c", "n", "fp", "prefix"]).append_column("print", batch.column(2))
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    sets = stored(map_arrow(rows, run, f"doc_id {kind}, c long, n long, fp long, prefix array<long>"), "shingles")
-    classes = sets.groupBy("c").agg(F.min("doc_id").alias("least"))
+    sets = stored(map_arrow(rows.withColumn("print", F.xxhash64("text")), run, f"doc_id {kind}, c long, n long, fp long, prefix array<long>, print long"), "shingles")
     index = sets.dropDuplicates(["c"]).select("c", "n", F.posexplode("prefix").alias("pos", "token"))
     index = stored(index, "index")
+    # Prefixes are most of what is stored, and aren't needed any more.
+    full, sets = sets, stored(sets.drop("prefix"), "classes")
+    discard(full)
+    # print: of which text, as several can share the least id.
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print")))
+    classes = sets.groupBy("c").agg(first.alias("first")).select("c", F.col("first.doc_id").alias("least"), "first.print")
     again = index.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     every, index = index, stored(index.join(again, "token"), "shared")
     discard(every)

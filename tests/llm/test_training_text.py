@@ -75,6 +75,18 @@ def test_near_copies_as_brute_force(spark):
     assert near_copies.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_shuffle_no_sets_for_repeats(spark, monkeypatch):
+    """Repeated rows and texts that share an id change nothing, and sets of shingles are not shuffled to find repeats."""
+    plans, put = {}, near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), put(df, name))[1])
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (1, "  ".join(words)), (1, "quite another text of more than five words"), (2, near), (2, near), (3, "alone in the world it is")]
+    got = near_copies.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1)] * 4 + [(2, 1)] * 2 + [(3, 3)]
+    assert "Exchange" in plans["sets"] and "Exchange" not in plans["sets"].split("MapInArrow")[0]
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"one\n{passage}\ntwo"), (2, f"three\n{passage}"), (3, "short\nline"), (4, "short\nline"), (5, None)]
