@@ -169,7 +169,7 @@ _SQL = {
     "source_candidates": f"""SELECT source, rank, stem, score FROM (
    SELECT source, stem, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, stem) AS rank FROM (
     SELECT source, stem, sum(worth)::BIGINT AS score FROM (SELECT item_id::VARCHAR AS source, unnest({TOKENS.format('text')}) AS word FROM benchmark) b
-    JOIN (SELECT stem, 10 AS worth, unnest({TOKENS.format('coalesce(title, stem)')}) AS word FROM wp UNION ALL SELECT stem, 1, unnest({TOKENS.format('substr(content, 1, 5000)')}) FROM wp) w USING (word) GROUP BY source, stem)) WHERE rank <= 5""",
+    JOIN (SELECT stem, 10 AS worth, unnest({TOKENS.format('coalesce(title, stem)')}) AS word FROM wp UNION ALL SELECT stem, 1, unnest({TOKENS.format('content')}) FROM wp) w USING (word) GROUP BY source, stem)) WHERE rank <= 5""",
     "merge_candidates": f"SELECT stem, score FROM (SELECT stem, (10 * len(list_intersect({TOKENS.format('coalesce(title, stem)')}, {TOKENS.format(repr(_SOURCE))})) + len(list_intersect({TOKENS.format('substr(content, 1, 5000)')}, {TOKENS.format(repr(_SOURCE))})))::BIGINT AS score FROM wp) WHERE score > 0 ORDER BY score DESC, stem LIMIT 5",
     "lint_broken_links": f"SELECT {_ISSUE} FROM l1",
     **{f"lint_{name}": f"SELECT {_ISSUE} FROM i WHERE code = '{code}'" for name, code in (("orphans", "ORPHAN_PAGE"), ("missing_frontmatter", "MISSING_FRONTMATTER"), ("invalid_type", "INVALID_TYPE"), ("no_sources", "NO_SOURCES"), ("low_connectivity", "LOW_CONNECTIVITY"), ("stale_pages", "STALE_PAGE"), ("contradictions", "UNRESOLVED_CONTRADICTION"), ("empty_sections", "EMPTY_SECTION"), ("duplicates", "DUPLICATE_CONCEPT"), ("unmarked_inference", "UNMARKED_INFERENCE"), ("missing_hash", "MISSING_CONTENT_HASH"))},
